@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixmill.llm import canonical
-from helixmill.session import table
+from helixmill.llm import canonical, mixing, packing, tokens
+from helixmill.session import durable, table
 
 CODED = ["gender", "tumor_stage", "vital_status"]
 
@@ -19,7 +20,31 @@ def p1_unmatched(spark: SparkSession, root: str) -> DataFrame:
     return canonical.unmatched_report(table(spark, root, "clinical"), "row_id", CODED, table(spark, root, "code_list"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched)}
+def token_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, source, n_tokens): the only pass over the texts that packing and mixing need."""
+    docs = table(spark, root, "documents")
+    return durable(docs.select("doc_id", "source", tokens.n_tokens(F.col("text")).alias("n_tokens")))
+
+
+def p6_packed(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(token_sizes(spark, root), table(spark, root, "pack_plans"))
+
+
+def p6_summary(spark: SparkSession, root: str) -> DataFrame:
+    return packing.summary(p6_packed(spark, root))
+
+
+def p7_mixed(spark: SparkSession, root: str) -> DataFrame:
+    docs = mixing.hashed(token_sizes(spark, root))
+    return mixing.choose(docs, mixing.plan(docs, mixing.read_targets(table(spark, root, "mix_targets"))))
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    docs = mixing.hashed(token_sizes(spark, root))
+    return mixing.report(docs, mixing.plan(docs, mixing.read_targets(table(spark, root, "mix_targets"))))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_packed, p6_summary, p7_mixed, p7_shares)}
 
 
 def _p1_sql() -> str:
