@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import canonical, mixing, packing, tokens
+from helixmill.llm import canonical, content, mixing, packing, tokens
 from helixmill.session import durable, table
 
 CODED = ["gender", "tumor_stage", "vital_status"]
@@ -44,7 +44,20 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.report(docs, mixing.plan(docs, mixing.read_targets(table(spark, root, "mix_targets"))))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_packed, p6_summary, p7_mixed, p7_shares)}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    scored = content.score_documents(table(spark, root, "documents"), table(spark, root, "content_labels"))
+    return scored.filter(F.col("score") >= content.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    return content.all_scores(table(spark, root, "documents"), table(spark, root, "content_labels"))
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    return content.rates(p8_scores(spark, root))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_packed, p6_summary, p7_mixed, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def _p1_sql() -> str:
