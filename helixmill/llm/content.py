@@ -44,6 +44,9 @@ NEAREST = 10
 POWER = 5
 #: A vote no neighbour casts: keeps passages that resemble nothing from scoring high.
 NO_VOTE = 0.25**POWER
+#: Cosine from which examples say the same, and clean documents that make a passage harmless.
+ALIKE = 0.6
+SEVERAL = 3
 THRESHOLD = 0.5
 
 # Example passages that stand beside the labelled ones, by category.
@@ -52,20 +55,27 @@ SEEDS: dict[str, list[str]] = {
         "You are a stupid idiot.", "You worthless piece of trash.", "What a pathetic moron you are.", "Shut up, you dumb loser.", "Everyone here thinks you are an incompetent fool.",
         "You are too stupid to do this job.", "He is a complete imbecile and a waste of space.", "Go kill yourself.", "I will find you and hurt you.", "I know where you live, watch your back.",
         "Nobody likes you, you disgusting pig.", "You make me sick, you little rat.", "Fuck you, asshole.", "Get lost, you useless bastard.", "I am going to break your neck.", "You deserve to be beaten.",
+        "You have no brain at all, you brainless clown.", "Do us all a favour and disappear, nobody will miss you.", "You should be ashamed of yourself, you cannot be trusted with anything.", "I will knock your teeth out.",
+        "Even a dog is smarter than you and smells better.", "The best thing you can do for us is to quit.",
         "Tu es un imbécile.", "Ferme ta gueule, espèce de connard.", "Va te faire foutre, salope.", "Je vais te tuer.", "Personne ne t'aime, pauvre minable.", "Quel abruti, il est trop bête pour ce travail.",
+        "Disparais, tu ne manqueras à personne.", "Je vais te casser la gueule.", "Vous êtes une bande d'incapables.",
         "Du bist ein Idiot.", "Halt die Fresse, du Arschloch.", "Ich bringe dich um.", "Du bist zu dumm für diese Arbeit, du Versager.", "Verpiss dich, du Miststück.",
+        "Verschwinde, niemand wird dich vermissen.", "Ich schlage dir in die Fresse.", "Ihr seid alle unfähige Trottel.",
         "Eres un idiota.", "Cállate, imbécil de mierda.", "Te voy a matar.", "Vete a la mierda, hijo de puta.", "Eres demasiado estúpido para este trabajo, inútil.",
+        "Desaparece, nadie te va a echar de menos.", "Te voy a romper la cara.", "Sois una panda de inútiles.",
     ],
     "hateful": [
         "Those people are vermin and should be kept out of our country.", "Immigrants are parasites and breed like rats.", "Women are too stupid for science.", "All of them are animals and belong in a cage.",
         "Disabled people are a burden and should not be treated.", "I refuse to work with that dirty race.", "They do not deserve to live among us.", "Send them all back where they came from.", "Their kind is inferior to us.", "Gays are sick and should be locked away.",
-        "Les étrangers sont des parasites qu'il faut chasser.", "Ces gens sont des animaux.", "Les femmes sont trop bêtes pour la science.",
-        "Ausländer sind Ungeziefer und gehören nicht hierher.", "Diese Leute sind Tiere.", "Frauen sind zu dumm für die Wissenschaft.",
-        "Los extranjeros son parásitos y hay que echarlos.", "Esa gente son animales.", "Las mujeres son demasiado tontas para la ciencia.",
+        "The world would be a better place without foreigners.", "These people do not deserve to be treated, let them die.", "They all steal, lock everything away when one of them comes near.",
+        "Les étrangers sont des parasites qu'il faut chasser.", "Ces gens sont des animaux.", "Les femmes sont trop bêtes pour la science.", "Ces gens sont sales et ne méritent pas d'être soignés.", "Il faudrait interdire l'hôpital aux immigrés.",
+        "Ausländer sind Ungeziefer und gehören nicht hierher.", "Diese Leute sind Tiere.", "Frauen sind zu dumm für die Wissenschaft.", "Für solche Leute ist jede Behandlung verschwendet.",
+        "Los extranjeros son parásitos y hay que echarlos.", "Esa gente son animales.", "Las mujeres son demasiado tontas para la ciencia.", "Esa gente no merece que la curen.",
     ],
     "sexual": [
         "I want to fuck you.", "Send me nude pictures of you.", "Your tits look great.", "Take off your clothes and get on your knees.", "I would love to lick your body all over.", "She sucked his cock.",
         "Free porn videos of horny girls, click here.", "I keep thinking of you naked in my bed.", "He came inside her while she moaned.", "Sit on my lap and touch me.",
+        "I touched myself all night thinking of you.", "You make me wet.", "Tell me what you are wearing and take it off slowly.",
         "J'ai envie de te baiser.", "Envoie-moi des photos de toi nue.", "Tes seins me rendent fou.", "Déshabille-toi et viens dans mon lit.",
         "Ich will dich ficken.", "Schick mir Nacktfotos von dir.", "Deine Titten sind geil.", "Zieh dich aus und komm in mein Bett.",
         "Quiero follarte.", "Mándame fotos desnuda.", "Tienes unas tetas increíbles.", "Quítate la ropa y ven a mi cama.",
@@ -157,21 +167,32 @@ def build(examples: pd.DataFrame, idf: np.ndarray) -> Model:
     doc_ids = np.concatenate([examples["doc_id"].to_numpy(dtype=np.int64), np.full(len(seeds), -1)])
     # like beside like: blocks of related passages have tight bounds
     order = sorted(range(len(texts)), key=lambda i: (-shares[i].sum(), passages.plain(texts[i])))
+    counts = np.concatenate([total, np.ones(len(seeds))])[order]
     texts, shares, doc_ids = [texts[i] for i in order], shares[order], doc_ids[order]
     rows = [passages.features(t) for t in texts]
     model = Model(BlockMaxIndex(rows, idf), shares, doc_ids, texts)
     edited, doubtful = shares.copy(), set()
-    for i in np.flatnonzero((shares.sum(axis=1) > 0) & (doc_ids >= 0)):
-        votes, support, _, _ = model.votes(rows[i], skip=i)
-        if votes.sum() < 0.25 and support > 0.3:
+    positives = np.flatnonzero((shares.sum(axis=1) > 0) & (doc_ids >= 0)).tolist()
+    vote = {i: float(model.votes(rows[i], skip=i)[0].sum()) for i in positives}
+    strongest: dict[int, float] = {}
+    for i in positives:
+        strongest[doc_ids[i]] = max(strongest.get(doc_ids[i], 0.0), vote[i])
+    for i in positives:
+        ids, sims = model.index.nearest(rows[i], NEAREST + 1)
+        near = ids[(sims > ALIKE) & (ids != i)]
+        clean = near[shares[near].sum(axis=1) == 0]
+        # one clean document may be mislabelled; several of them, or another passage of the same
+        # document that explains its label better, say that the passage is harmless
+        backed = ((shares[near].sum(axis=1) > 0) & (doc_ids[near] != doc_ids[i])).any()
+        explained = not backed and strongest[doc_ids[i]] > max(0.5, vote[i] + 0.2)
+        if len(clean) and (explained or (vote[i] < 0.25 and counts[clean].sum() >= SEVERAL)):
             edited[i] = 0
         else:
-            ids, sims = model.index.nearest(rows[i], NEAREST)
-            doubtful.update(ids[(sims > 0.6) & (shares[ids].sum(axis=1) == 0)].tolist())
+            doubtful.update(clean[counts[clean] < SEVERAL].tolist())
     model.shares = edited.copy()
     for i in sorted(doubtful):
-        votes, support, _, _ = model.votes(rows[i], skip=i)
-        if votes.sum() > 0.75 and support > 0.5:
+        votes, _, _, _ = model.votes(rows[i], skip=i)
+        if votes.sum() > 0.5:
             edited[i] = votes / votes.sum()
     model.shares = edited
     return model

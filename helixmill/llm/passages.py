@@ -30,8 +30,11 @@ def passages(text: Column) -> Column:
     t = F.regexp_replace(text, r"[\u00ad\u200b-\u200f\u2060\ufeff]", "")
     t = F.regexp_replace(t, r"<[^<>]{1,200}>|&nbsp;", " ")
     t = F.regexp_replace(t, r"\b(?:TCGA[-A-Z0-9]{4,20}|S\d{2,6}-[A-Z]|[A-Z]{2,5}\d{1,3})\b", "0")
-    t = F.regexp_replace(t, r"(?<![\p{L}\d])\d[\d.,:]*(?![\p{L}\d])", "0")
-    parts = F.split(t, r"(?<=[.!?…]['\")\]»]{0,2})\s+|[\r\n]+")
+    t = F.regexp_replace(t, r"(?<![\p{L}\d])\d+(?:[.,:]\d+)*(?![\p{L}\d])", "0")
+    parts = F.split(t, r"(?<=[.!?…]['\")\]»]{0,2})\s+|(?<=[:;]-?[()])\s+|[\r\n]+")
+    # what follows a colon or stands in quotation marks is read by itself as well
+    quoted = F.flatten(F.transform(parts, lambda p: F.concat(F.slice(F.split(p, r":\s+", 2), 2, 1), F.regexp_extract_all(p, F.lit("[\"«“„]([^\"»“”]{4,})[\"»“”]"), F.lit(1)))))
+    parts = F.concat(parts, quoted)
     clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"[\s\p{Z}]+", " ")))
     windows = F.flatten(F.transform(clean, lambda p: F.when(F.length(p) <= WINDOW, F.array(p)).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / F.lit(STEP)).cast("int")), lambda i: F.substring(p, i * STEP + 1, F.lit(WINDOW))))))
@@ -43,7 +46,7 @@ LOOK_ALIKES = str.maketrans("авеёкмнорстухіјѕαεικνορτυ
 STANDS_FOR = str.maketrans("013457@$€|!", "oieastaseii")
 _BROKEN = re.compile("[\u00c2\u00c3][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|\u00e2\u20ac")
 _WORDISH = re.compile(r"[^\s]+")
-_SPLIT = re.compile(r"(?<=[^\W\d_])[-_.·*'’+](?=[^\W\d_])")
+_SPLIT = re.compile(r"(?<=[^\W\d_])[-_.·*'’+#%~^](?=[^\W\d_])")
 _SPACED = re.compile(r"\b(?:[^\W\d_] ){3,}[^\W\d_]\b")
 _RUN = re.compile(r"(.)\1+")
 _WORD = re.compile(r"[a-z]+")
