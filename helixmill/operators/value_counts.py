@@ -112,6 +112,20 @@ def quantiles(counts: DataFrame, keys: Sequence[str], probabilities: Mapping[str
     return found.groupBy(*keys).agg(*out)
 
 
+def value_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``counts`` with ``before``, how many of the key's rows hold a smaller value.
+
+    The average rank of a value is before + (cnt + 1) / 2. Values are ordered within
+    buckets only; a running sum over the buckets places each bucket.
+    """
+    counts = counts.filter(F.col("value").isNotNull()).withColumn("_b", _bucket(F.col("value")))
+    by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_n"))
+    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    starts = by_bucket.select(*keys, "_b", (F.sum("_n").over(running) - F.col("_n")).alias("_start"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(starts, [*keys, "_b"]).withColumn("before", F.col("_start") + F.sum("cnt").over(inner) - F.col("cnt")).drop("_b", "_start")
+
+
 def profile(store: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
     """One row per table, column and load, from the counts alone."""
     value, cnt = F.col("value"), F.col("cnt")
