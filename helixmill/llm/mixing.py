@@ -50,7 +50,7 @@ class Target:
 def hashed(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     """``sizes`` (doc_id, source, n_tokens) with the source's key and a hash of ``HASH_BITS`` bits."""
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - HASH_BITS)
-    return sizes.select("doc_id", id_key(F.col("source")).alias("source_key"), F.col("n_tokens").cast("long").alias("n_tokens"), h.alias("h"))
+    return sizes.select("doc_id", id_key(F.col("source")).alias("source_key"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"), h.alias("h"))
 
 
 def read_targets(targets: DataFrame) -> dict[str, Target]:
