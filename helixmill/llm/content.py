@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,8 +44,9 @@ NEAREST = 10
 POWER = 5
 #: A vote no neighbour casts: keeps passages that resemble nothing from scoring high.
 NO_VOTE = 0.25**POWER
-#: Cosine from which examples say the same, and clean documents that make a passage harmless.
+#: Cosines from which examples say the same, or are related, and clean documents that make a passage harmless.
 ALIKE = 0.6
+RELATED = 0.4
 SEVERAL = 3
 THRESHOLD = 0.5
 
@@ -93,7 +94,6 @@ class Model:
     texts: list[str]
     slope: float = 10.0
     offset: float = -5.0
-    idf: np.ndarray = field(default=None, repr=False)
 
     def votes(self, row: list[int], skip: int = -1) -> tuple[np.ndarray, float, int, float]:
         """Vote per category, support, nearest positive example (or -1) and its cosine."""
@@ -157,6 +157,9 @@ def example_passages(labelled: DataFrame, most: int = MOST_EXAMPLES) -> pd.DataF
 
 def build(examples: pd.DataFrame, idf: np.ndarray) -> Model:
     """The index over ``examples`` and the seeds, after one round of edited nearest neighbours."""
+    # what is the same once disguises are undone is one example with all its labels
+    examples = examples.assign(plain=[passages.plain(p) for p in examples["passage"]]).sort_values(["plain", "passage"])
+    examples = examples.groupby("plain", sort=True).agg({"passage": "first", "none": "sum", **dict.fromkeys(CATEGORIES, "sum"), "doc_id": "min"}).reset_index()
     total = examples[["none", *CATEGORIES]].sum(axis=1).to_numpy(dtype=float)
     positive = 1 - examples["none"].to_numpy(dtype=float) / np.maximum(total, 1e-9)
     shares = examples[CATEGORIES].to_numpy(dtype=float) / np.maximum(total, 1e-9)[:, None]
@@ -188,11 +191,12 @@ def build(examples: pd.DataFrame, idf: np.ndarray) -> Model:
         if len(clean) and (explained or (vote[i] < 0.25 and counts[clean].sum() >= SEVERAL)):
             edited[i] = 0
         else:
-            doubtful.update(clean[counts[clean] < SEVERAL].tolist())
+            related = ids[sims > RELATED]
+            doubtful.update(j for j in related.tolist() if shares[j].sum() < 1 and counts[j] < SEVERAL)
     model.shares = edited.copy()
     for i in sorted(doubtful):
         votes, _, _, _ = model.votes(rows[i], skip=i)
-        if votes.sum() > 0.5:
+        if votes.sum() > 0.7:
             edited[i] = votes / votes.sum()
     model.shares = edited
     return model

@@ -14,6 +14,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -25,17 +26,33 @@ STEP = 300
 DIM = 1 << 20
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# Every pattern fails at once on a character that cannot begin a match.
+_INVISIBLE = r"[\u00ad\u200b-\u200f\u2060\ufeff]+"
+_MARKUP = r"<[^<>]{1,200}>|&nbsp;"
+_CODES = r"\b(?:TCGA[-A-Z0-9]{4,20}|S\d{2,6}-[A-Z]|[A-Z]{2,5}\d{1,3})\b"
+_NUMBERS = r"(?=\d)(?<![\p{L}\d])\d+(?:[.,:]\d+)*(?![\p{L}\d])"
+_ENDS = r"(?=\s)(?:(?<=[.!?…]['\")\]»]{0,2})|(?<=!\d)|(?<=[:;]-?[()]))\s+|\s+(?i:(?<=\s(?:lol|haha|ha ha|xd)\s{1,4}))(?=\p{Lu})|[\r\n]+"
+_RUN_ON = r"(?= )(?<=[\p{Ll}\d]) (?=\p{Lu}['’]?\p{Ll}+\s\p{Ll})"
+
+
+def _readings(parts: Column) -> Column:
+    """Sentences, and by themselves also what follows a colon, is quoted, or runs on without a full stop."""
+    after_colon = F.flatten(F.transform(F.filter(parts, lambda p: p.contains(": ")), lambda p: F.slice(F.split(p, r":\s+", 2), 2, 1)))
+    quoted = F.flatten(F.transform(F.filter(parts, lambda p: p.rlike("[\"»“”]")), lambda p: F.regexp_extract_all(p, F.lit("[\"«“„]([^\"»“”]{4,})[\"»“”]"), F.lit(1))))
+    run_on = F.flatten(F.transform(F.filter(parts, lambda p: p.rlike(r"^\P{L}*+\p{Ll}")), lambda p: F.split(p, _RUN_ON, 2)))
+    return F.concat(parts, after_colon, quoted, run_on)
+
+
 def passages(text: Column) -> Column:
     """The distinct masked passages of a text as an array; empty for NULL and blank text."""
-    t = F.regexp_replace(text, r"[\u00ad\u200b-\u200f\u2060\ufeff]", "")
-    t = F.regexp_replace(t, r"<[^<>]{1,200}>|&nbsp;", " ")
-    t = F.regexp_replace(t, r"\b(?:TCGA[-A-Z0-9]{4,20}|S\d{2,6}-[A-Z]|[A-Z]{2,5}\d{1,3})\b", "0")
-    t = F.regexp_replace(t, r"(?<![\p{L}\d])\d+(?:[.,:]\d+)*(?![\p{L}\d])", "0")
-    parts = F.split(t, r"(?<=[.!?…]['\")\]»]{0,2})\s+|(?<=[:;]-?[()])\s+|[\r\n]+")
-    # what follows a colon or stands in quotation marks is read by itself as well
-    quoted = F.flatten(F.transform(parts, lambda p: F.concat(F.slice(F.split(p, r":\s+", 2), 2, 1), F.regexp_extract_all(p, F.lit("[\"«“„]([^\"»“”]{4,})[\"»“”]"), F.lit(1)))))
-    parts = F.concat(parts, quoted)
-    clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"[\s\p{Z}]+", " ")))
+    t = F.regexp_replace(F.regexp_replace(text, _INVISIBLE, ""), _MARKUP, " ")
+    t = F.regexp_replace(F.regexp_replace(t, _CODES, "0"), _NUMBERS, "0")
+    clean = F.transform(_bound(F.split(t, _ENDS), _readings), lambda p: F.trim(F.regexp_replace(p, r"[\s\p{Z}]+", " ")))
     windows = F.flatten(F.transform(clean, lambda p: F.when(F.length(p) <= WINDOW, F.array(p)).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / F.lit(STEP)).cast("int")), lambda i: F.substring(p, i * STEP + 1, F.lit(WINDOW))))))
     return F.coalesce(F.array_distinct(F.filter(windows, lambda p: p.rlike(r"\p{L}"))), F.array().cast("array<string>"))
