@@ -109,7 +109,7 @@ def metrics(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
         columns = numeric_columns(t, [key])
         full = reduce(lambda a, b: a + b, [(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") != 0)).cast("int") for c in columns], F.lit(0))
         parts.append(t.agg(F.count(F.lit(1)).alias("n_samples"), F.sum(full).alias("full")).select(
-            F.lit(n).alias("modality"), "n_samples", F.lit(len(columns)).cast("long").alias("n_features"), (F.col("full") / (F.col("n_samples") * F.lit(len(columns)))).alias("density"), (F.col("n_samples") / F.lit(float(len(columns)))).alias("samples_per_feature")))
+            F.lit(n).alias("modality"), "n_samples", F.lit(len(columns)).cast("long").alias("n_features"), F.try_divide(F.col("full"), F.col("n_samples") * F.lit(len(columns))).alias("density"), F.try_divide(F.col("n_samples"), F.lit(float(len(columns)))).alias("samples_per_feature")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -35,8 +35,8 @@ def missing_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     gaps = df.select(row_gaps(columns).alias("g"))
     n, cells = F.count(F.lit(1)), F.count(F.lit(1)) * len(columns)
     return gaps.agg(
-        n.alias("n_rows"), cells.alias("n_cells"), F.coalesce(F.sum("g"), F.lit(0)).alias("n_missing"), (F.sum("g") * 100.0 / cells).alias("missing_percent"),
-        F.count_if(F.col("g") > 0).alias("rows_with_missing"), F.count_if(F.col("g") == 0).alias("complete_rows"), (F.count_if(F.col("g") == 0) * 100.0 / n).alias("complete_percent"),
+        n.alias("n_rows"), cells.alias("n_cells"), F.coalesce(F.sum("g"), F.lit(0)).alias("n_missing"), F.try_divide(F.sum("g") * 100.0, cells).alias("missing_percent"),
+        F.count_if(F.col("g") > 0).alias("rows_with_missing"), F.count_if(F.col("g") == 0).alias("complete_rows"), F.try_divide(F.count_if(F.col("g") == 0) * 100.0, n).alias("complete_percent"),
     )
 
 
@@ -206,8 +206,8 @@ def library_quality(long: DataFrame, fence: float = 1.5) -> DataFrame:
 
 
 def expression_summary(genes: DataFrame, libraries: DataFrame) -> DataFrame:
-    g = genes.agg(F.count(F.lit(1)).alias("n_genes"), F.count_if("low").alias("n_low"), (F.count_if("low") * 100.0 / F.count(F.lit(1))).alias("low_percent"), F.count_if("variable").alias("n_variable"), F.avg("cv").alias("mean_cv"))
-    s = libraries.agg(F.count(F.lit(1)).alias("n_samples"), F.avg("library_size").alias("mean_library"), F.stddev_samp("library_size").alias("std_library"), (F.count_if("unusual") * 100.0 / F.count(F.lit(1))).alias("unusual_percent"))
+    g = genes.agg(F.count(F.lit(1)).alias("n_genes"), F.count_if("low").alias("n_low"), F.try_divide(F.count_if("low") * 100.0, F.count(F.lit(1))).alias("low_percent"), F.count_if("variable").alias("n_variable"), F.avg("cv").alias("mean_cv"))
+    s = libraries.agg(F.count(F.lit(1)).alias("n_samples"), F.avg("library_size").alias("mean_library"), F.stddev_samp("library_size").alias("std_library"), F.try_divide(F.count_if("unusual") * 100.0, F.count(F.lit(1))).alias("unusual_percent"))
     one = F.lit(1).alias("_one")
     return g.select("*", one).join(s.select("*", one), "_one").drop("_one")
 
@@ -267,7 +267,7 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 def matrix_quality(long: DataFrame) -> DataFrame:
     """Mean of means, mean of deviations, extremes and sparsity of a matrix."""
     s = by_feature(long, {"zeros": F.count_if(_v() == 0), "cells": F.count(F.lit(1))})
-    return s.agg(F.avg("mean").alias("mean_of_means"), F.avg("sd_samp").alias("mean_of_std"), F.min("low").alias("min"), F.max("high").alias("max"), (F.sum("zeros") / F.sum("cells")).alias("sparsity"))
+    return s.agg(F.avg("mean").alias("mean_of_means"), F.avg("sd_samp").alias("mean_of_std"), F.min("low").alias("min"), F.max("high").alias("max"), F.try_divide(F.sum("zeros"), F.sum("cells")).alias("sparsity"))
 
 
 def density(long: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def modality_report(modality: str, wide: DataFrame, key: str, contamination: flo
     out = parts[0].select("*", n)
     for p in parts[1:]:
         out = out.join(p.select("*", n), "_one")
-    out = out.drop("_one").withColumn("outlier_percent", F.col("n_outliers") * 100.0 / F.col("n_rows")).withColumn("modality", F.lit(modality))
+    out = out.drop("_one").withColumn("outlier_percent", F.try_divide(F.col("n_outliers") * 100.0, F.col("n_rows"))).withColumn("modality", F.lit(modality))
     return verdict(out, contamination)
 
 

@@ -62,7 +62,7 @@ def summary(df: DataFrame, key: str) -> DataFrame:
     """One row: samples, features and the percentage of cells that are filled."""
     columns = [c for c in df.columns if c != key]
     gaps = df.select(quality.row_gaps(columns).alias("g"))
-    return gaps.agg(F.count(F.lit(1)).alias("n_samples"), F.lit(len(columns)).cast("long").alias("n_features"), (100 - F.sum("g") * 100.0 / (F.count(F.lit(1)) * len(columns))).alias("completeness_percent"))
+    return gaps.agg(F.count(F.lit(1)).alias("n_samples"), F.lit(len(columns)).cast("long").alias("n_features"), (100 - F.try_divide(F.sum("g") * 100.0, F.count(F.lit(1)) * len(columns))).alias("completeness_percent"))
 
 
 def run_checked(omic: DataFrame, clinical: DataFrame, key: str, **options) -> dict[str, object]:

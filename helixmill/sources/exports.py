@@ -65,7 +65,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", metadata: Mapping[str, o
         # a union keeps its parts in order, so the preamble comes first in the single file
         top.union(body).coalesce(1).write.mode("overwrite").text(path)
         return path
-    writer = (flat.coalesce(files) if files else flat).write.mode("overwrite").option("header", True).option("sep", sep)
+    writer = (flat.coalesce(files) if files else flat).write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"')
     writer.csv(path)
     if lines:
         write_text(df.sparkSession, f"{path}/_preamble.txt", "\n".join(lines) + "\n")
@@ -100,7 +100,7 @@ def write_csv_with_dictionary(df: DataFrame, path: str, sep: str = ",") -> str:
 
 def write_csv_by(df: DataFrame, path: str, column: str, sep: str = ",") -> str:
     """A folder of files per value of ``column``."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).partitionBy(column).csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').partitionBy(column).csv(path)
     return path
 
 

@@ -12,7 +12,7 @@ from helixmill.errors import SourceError
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", comment: str | None = None) -> DataFrame:
     """A delimited file with a header; lines that begin with ``comment`` are a preamble. Name the schema where you can."""
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
     if comment:
         reader = reader.option("comment", comment)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
