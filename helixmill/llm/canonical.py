@@ -156,7 +156,8 @@ def map_rows(rows: DataFrame, row_id: str, fields: Sequence[str], codes: DataFra
     values = spark.sql("SELECT DISTINCT field_name, value FROM {long}", long=long)
     mapping = value_mapping(values, codes, durable(reference_strings(spark, codes)))
     return spark.sql(
-        f"""SELECT l.row_id, l.field_name, l.value, m.entry, m.how
+        # a salted copy is larger than its file suggests, so the mapping is never broadcast
+        f"""SELECT /*+ MERGE(m) */ l.row_id, l.field_name, l.value, m.entry, m.how
             FROM (SELECT *, pmod(xxhash64(row_id), {SALTS}) AS salt FROM {{long}}) l
             JOIN (SELECT *, explode(sequence(0L, {SALTS - 1}L)) AS salt FROM {{mapping}} WHERE {only}) m
             ON m.field_name = l.field_name AND m.value = l.value AND m.salt = l.salt""",
