@@ -133,6 +133,12 @@ def trimmed_mean_factors(long: DataFrame, ratio_trim: float = 0.3, level_trim: f
     return all_samples.select("sample", F.pow(F.lit(2.0), F.col("lf") - F.lit(centre)).alias("factor"))
 
 
+def by_trimmed_mean(long: DataFrame) -> DataFrame:
+    """Counts per million of the sample's sum, corrected by its trimmed-mean factor."""
+    sums = long.groupBy("sample").agg(F.sum("value").alias("_total")).join(trimmed_mean_factors(long), "sample")
+    return long.join(sums, "sample").withColumn("value", F.try_divide(_v() * 1e6, F.col("_total") * F.col("factor"))).drop("_total", "factor")
+
+
 def quantile_normalize(long: DataFrame, column: str = "sample") -> DataFrame:
     """Give every column the same distribution: a value becomes the mean of all values of its rank.
 
@@ -149,7 +155,7 @@ def quantile_normalize(long: DataFrame, column: str = "sample") -> DataFrame:
 
 #: Methods by kind of measurement; the first is the default.
 METHODS: dict[str, dict[str, Callable[..., DataFrame]]] = {
-    "gene_expression": {"tpm": tpm, "fpkm": fpkm, "deseq2_size_factors": by_size_factor, "quantile": quantile_normalize, "standard": standard},
+    "gene_expression": {"tpm": tpm, "fpkm": fpkm, "deseq2_size_factors": by_size_factor, "tmm": by_trimmed_mean, "quantile": quantile_normalize, "standard": standard},
     "proteomics": {"median_centering": center_median, "quantile": quantile_normalize, "standard": standard, "robust": robust},
     "metabolomics": {"pareto_scaling": pareto, "auto_scaling": standard, "range_scaling": value_range, "log_transform": log_transform},
     "clinical": {"standard": standard, "minmax": minmax, "robust": robust},

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.operators import quality, reduce
+from helixmill import reports
+from helixmill.operators import align, learn, quality, reduce
 from helixmill.plans import adapters as a
-from helixmill.session import table
+from helixmill.session import durable, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +66,41 @@ def figure_frames(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {a.SPARSE}, g AS (SELECT (1 - ({' + '.join(f'({c} IS NULL)::INT' for c in COLS)}) / 7.0) * 100 AS c FROM sparse) SELECT least(floor((c - lo) / ((hi - lo) / 20)) + 1, 20)::BIGINT AS bin, count(*) AS n FROM g, (SELECT min(c) AS lo, max(c) AS hi FROM g) GROUP BY ALL")
 def figure_completeness_histogram(spark: SparkSession, root: str) -> DataFrame:
     return quality.histogram(quality.completeness(a.sparse(spark, root), "sample", COLS), "completeness_percent", 20)
+
+
+_IQR = f"{a.EMB}, s AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM emb GROUP BY ALL), bad AS (SELECT DISTINCT sample FROM emb JOIN s USING (feature) WHERE value < q1 - (q3 - q1) * 1.5 OR value > q3 + (q3 - q1) * 1.5)"
+
+
+@query(f"WITH {_IQR} SELECT least(floor((sample - lo) / ((hi - lo) / 20)) + 1, 20)::BIGINT AS bin, count(*) AS n FROM bad, (SELECT min(sample) AS lo, max(sample) AS hi FROM bad) GROUP BY ALL")
+def figure_outlier_positions(spark: SparkSession, root: str) -> DataFrame:
+    return quality.histogram(durable(quality.outliers(a.embedded(spark, root).select("sample", "feature", "value"))), "sample", 20)
+
+
+_MOD = """m AS (SELECT 'customer' AS modality, c_custkey AS id FROM customer UNION ALL SELECT DISTINCT 'orders', o_custkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT DISTINCT 'events', user_id FROM events), common AS (SELECT id FROM m GROUP BY ALL HAVING count(*) = 3)"""
+
+
+@query(f"WITH {_MOD}, s AS (SELECT modality, count(c.id) * 100.0 / count(*) AS p FROM m LEFT JOIN common c USING (id) GROUP BY ALL) SELECT modality, {R.format('p')} AS matched_percent, CASE WHEN p < 50 THEN 'poor' WHEN p < 80 THEN 'fair' ELSE 'good' END AS band FROM s")
+def figure_alignment_bands(spark: SparkSession, root: str) -> DataFrame:
+    tables = {
+        "customer": table(spark, root, "customer").select(F.col("c_custkey").alias("id")), "events": table(spark, root, "events").select(F.col("user_id").alias("id")),
+        "orders": table(spark, root, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")),
+    }
+    stats = align.alignment_stats(tables, "id").select("modality", "matched_percent")
+    return a.tidy(reports.bands(stats, "matched_percent", 50, 80), ["matched_percent"])
+
+
+@query()
+def figure_cumulative_variance(spark: SparkSession, root: str) -> DataFrame:
+    found = reduce.pca(a.embedded_wide(spark, root), "sample", [f"d{i:02d}" for i in range(a.DIMS)], 20, scale=True).ratios
+    rows = spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(found)], "component int, ratio double")
+    # as many rows as components were asked for
+    running = Window.partitionBy(F.lit(1)).orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("cumulative", F.sum("ratio").over(running))
+
+
+@query()
+def figure_importances(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 most important features of a forest."""
+    columns = [f"d{i:02d}" for i in range(a.DIMS)]
+    wide = a.embedded_wide(spark, root).withColumn("split", learn.split_column(F.col("sample")))
+    return spark.createDataFrame(learn.evaluate(wide, columns, "label")[1], "feature string, importance double")

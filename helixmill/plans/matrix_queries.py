@@ -148,6 +148,11 @@ def tmm_factors(spark: SparkSession, root: str) -> DataFrame:
     return normalize.trimmed_mean_factors(a.counts(spark, root))
 
 
+@query()
+def tmm_normalize(spark: SparkSession, root: str) -> DataFrame:
+    return normalize.by_trimmed_mean(a.counts(spark, root))
+
+
 # --- scaling -----------------------------------------------------------------------------
 def _scaled(name: str, method, sql: str, agg: str) -> None:
     def run(spark: SparkSession, root: str) -> DataFrame:

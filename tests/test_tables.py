@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill import bundle, cli
+from helixmill import bundle, cli, reports
 from helixmill.config import Config
 from helixmill.errors import ConfigurationError, ExportError, SampleAlignmentError, ValidationError
 from helixmill.functions import extend, ids
@@ -189,6 +189,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "out")).filter("g is null or age is null").count() == 0
 
 
+def test_reports(spark, tmp_path):
+    t = tables(spark)
+    text = reports.alignment_text(t, "id")
+    assert "a: 2 of 3 samples matched (66.7 %)" in text and "a and b: 2 common samples" in text
+    assert "x (double): 0.0 % missing" in reports.data_text(t["a"]) and "y (double): 33.3 % missing" in reports.data_text(t["b"])
+    rows = reports.integration_summary(fuse.integrate(t, "id", ("early", "late")) | {"bad": {"status": "failed"}})
+    assert [(r["method"], r["status"], r["n_samples"]) for r in rows] == [("early", "success", 2), ("late", "success", 2), ("bad", "failed", 0)]
+    reports.set_up_logging(str(tmp_path / "log"), as_json=True).info("done")
+    assert json.loads((tmp_path / "log").read_text())["message"] == "done"
+
+
 def test_queries_and_sql_have_the_same_names():
     import __spark_entry__ as e
 
