@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import ids
@@ -122,10 +122,23 @@ def match_by_time(spark: SparkSession, root: str) -> DataFrame:
 _TWO = """l AS (SELECT 'TCGA-8A-' || lpad(c_custkey::VARCHAR, 4, '0') || '-01A' AS s FROM customer WHERE c_custkey < 5000), r AS (SELECT DISTINCT 'tcga-8a-' || lpad(o_custkey::VARCHAR, 4, '0') || '-11B' AS s FROM orders WHERE o_custkey < 5000 AND o_orderstatus = 'F')"""
 
 
+def _patient(key: str) -> Column:
+    """TCGA-SS-NNNN, another one for every key up to 1.58 billion: the last four digits and, from 8A on, a site for the others.
+
+    When the 1,296 sites of two letters or digits are used up, the last four begin with a letter.
+    """
+    k, sites, digits, letters = F.col(key).cast("bigint"), 36**2, 10**4, 26 * 36**3
+    far = k - sites * digits
+    site = F.floor(F.when(far < 0, k / digits).otherwise(far / letters))
+    base36 = lambda n: F.conv(n.cast("string"), 10, 36)
+    tail = F.when(far < 0, F.lpad((k % digits).cast("string"), 4, "0")).otherwise(base36(far % letters + 10 * 36**3))
+    name = F.concat(F.lit("TCGA-"), F.lpad(base36((site + int("8A", 36)) % sites), 2, "0"), F.lit("-"), tail)
+    return F.when((k >= 0) & (site < sites), name).when(k.isNotNull(), F.raise_error(F.concat(F.lit("no patient id for key "), k.cast("string"))))
+
+
 def _two(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    number = lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
-    left = table(spark, root, "customer").filter("c_custkey < 5000").select(F.concat(F.lit("TCGA-8A-"), number("c_custkey"), F.lit("-01A")).alias("s"))
-    right = table(spark, root, "orders").filter("o_custkey < 5000 AND o_orderstatus = 'F'").select(F.concat(F.lit("tcga-8a-"), number("o_custkey"), F.lit("-11B")).alias("s")).distinct()
+    left = table(spark, root, "customer").select(F.concat(_patient("c_custkey"), F.lit("-01A")).alias("s"))
+    right = table(spark, root, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lower(_patient("o_custkey")), F.lit("-11B")).alias("s")).distinct()
     return left, right
 
 
@@ -138,7 +151,7 @@ def match_patient_id(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {_TWO} SELECT DISTINCT upper(l.s[1:15]) AS id FROM l JOIN r ON upper(l.s[1:15]) = upper(replace(r.s, '-11', '-01')[1:15])")
 def match_barcode(spark: SparkSession, root: str) -> DataFrame:
     left, right = _two(spark, root)
-    return align.match_by({"a": left, "b": right.select(F.replace("s", F.lit("-11"), F.lit("-01")).alias("s"))}, {"a": "s", "b": "s"}, "barcode")
+    return align.match_by({"a": left, "b": right.select(F.regexp_replace("s", "-11B$", "-01B").alias("s"))}, {"a": "s", "b": "s"}, "barcode")
 
 
 _MAP = """a AS (SELECT 'S-' || c_custkey AS id_a FROM customer), b AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'S-' || c_custkey WHEN 1 THEN 's-' || c_custkey WHEN 2 THEN 'S_' || c_custkey ELSE 'Z' || c_custkey END AS id_b FROM customer),
