@@ -45,6 +45,11 @@ def transpose(wide: DataFrame, key: str, features: Sequence[str], keys: Sequence
     return to_wide(to_long(wide, key, features), "feature", key, "value", keys)
 
 
+def transpose_long(wide: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """(feature, key, value): the transpose of any number of rows, with a row for every cell, also for missing ones."""
+    return to_long(wide, key, features).select("feature", F.col(f"`{key}`"), "value")
+
+
 def prefixed(df: DataFrame, prefix: str, key: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in df.columns if c != key})
 

@@ -41,9 +41,8 @@ def unpivot_flatten(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {a.COUNTS} SELECT feature, " + ", ".join(f"{R.format(f'avg(value) FILTER (sample = {i})')} AS s{i}" for i in range(10)) + " FROM counts WHERE sample < 10 GROUP BY ALL")
 def transpose_matrix(spark: SparkSession, root: str) -> DataFrame:
-    wide = matrix.to_wide(a.counts(spark, root).filter("sample < 10"), "sample", "feature", "value", a.BRANDS)
-    turned = matrix.transpose(wide, "sample", a.BRANDS, list(range(10)))
-    return turned.select("feature", *[a.rounded(F.col(f"`{i}`")).alias(f"s{i}") for i in range(10)])
+    wide = matrix.to_wide(a.counts(spark, root), "sample", "feature", "value", a.BRANDS)
+    return a.tidy(matrix.transpose_long(wide, "sample", a.BRANDS), ["value"])
 
 
 # --- imputation --------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from helixmill.plans import align_queries
+from helixmill.plans import align_queries, export_queries, matrix_queries
 
 
 def stored(df, root, name):
@@ -22,3 +22,12 @@ def test_patients_and_barcodes_of_all_keys_are_matched(spark, tmp_path):
 def test_patient_ids_do_not_collide(spark):
     ids = spark.range(100_000).union(spark.range(12_900_000, 13_000_000)).union(spark.range(1_584_000_000, 1_584_100_000)).select(align_queries._patient("id").alias("p"))
     assert ids.distinct().count() == 300_000 and ids.filter(F.col("p").rlike("^TCGA-[A-Z0-9]{2}-[A-Z0-9]{4}$")).count() == 300_000
+
+
+def test_all_samples_are_transposed(spark, tmp_path):
+    stored(spark.createDataFrame([(1, "Brand#1"), (2, "Brand#25")], "p_partkey long, p_brand string"), tmp_path, "part")
+    stored(spark.createDataFrame([(1, 1, 2.0), (9, 2, 3.0), (10, 1, 4.0), (10, 1, 1.0), (5000, 2, 6.0)], "l_suppkey long, l_partkey long, l_quantity double"), tmp_path, "lineitem")
+    turned = matrix_queries.transpose_matrix(spark, str(tmp_path))
+    rows = {(r["feature"], r["sample"]): r["value"] for r in turned.collect()}
+    assert turned.columns == ["feature", "sample", "value"] and len(rows) == turned.count() == 25 * 4
+    assert {k: v for k, v in rows.items() if v is not None} == {("Brand#1", 1): 2.0, ("Brand#25", 9): 3.0, ("Brand#1", 10): 5.0, ("Brand#25", 5000): 6.0}
