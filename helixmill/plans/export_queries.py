@@ -43,8 +43,8 @@ def htseq_parse(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT l_partkey AS gene_id, " + ", ".join(f"coalesce(avg(l_quantity) FILTER (l_linenumber = {i}), 0) AS c{i}" for i in range(1, 4)) + " FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL")
 def counts_matrix(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "lineitem").filter("l_linenumber <= 3").select(F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("case_id"), F.col("l_partkey").alias("gene_id"), F.col("l_quantity").alias("count"))
-    return readers.counts_matrix(rows, ["c1", "c2", "c3"])
+    rows = table(spark, root, "lineitem").select(F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("case_id"), F.col("l_partkey").alias("gene_id"), F.col("l_quantity").alias("count"))
+    return readers.counts_matrix(rows, [f"c{i}" for i in a.LINES])
 
 
 @query("""SELECT row_id::VARCHAR AS case_id, CASE WHEN isnan(age) THEN NULL ELSE age END AS age, gender, NULL::VARCHAR AS race, NULL::VARCHAR AS ethnicity, NULL::VARCHAR AS primary_diagnosis, tumor_stage, tumor_grade, vital_status, NULL::DOUBLE AS days_to_death,

@@ -31,3 +31,9 @@ def test_all_samples_are_transposed(spark, tmp_path):
     rows = {(r["feature"], r["sample"]): r["value"] for r in turned.collect()}
     assert turned.columns == ["feature", "sample", "value"] and len(rows) == turned.count() == 25 * 4
     assert {k: v for k, v in rows.items() if v is not None} == {("Brand#1", 1): 2.0, ("Brand#25", 9): 3.0, ("Brand#1", 10): 5.0, ("Brand#25", 5000): 6.0}
+
+
+def test_all_cases_are_in_the_counts_matrix(spark, tmp_path):
+    stored(spark.createDataFrame([(i, 7, float(i)) for i in range(1, 8)] + [(5, 8, 2.0), (5, 8, 4.0)], "l_linenumber int, l_partkey long, l_quantity double"), tmp_path, "lineitem")
+    rows = {r["gene_id"]: list(r)[1:] for r in export_queries.counts_matrix(spark, str(tmp_path)).collect()}
+    assert rows == {7: [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0], 8: [0.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0]}
