@@ -175,14 +175,46 @@ def mann_whitney(long: DataFrame, group: str, a, b) -> DataFrame:
 
 
 def normality(long: DataFrame, most: int = 5000) -> DataFrame:
-    """(feature, n, w, p_value) of the Shapiro-Wilk test for features of 3 to ``most`` values; larger ones have no row."""
-    counts = long.filter(_v().isNotNull()).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(3, most))
+    """(feature, n, w, p_value, test) for every feature of 3 values or more.
+
+    Up to ``most`` values w is Shapiro and Wilk's, whose approximation ends at 5,000; above, it is Anderson
+    and Darling's from the counts of all values.
+    """
+    known = long.filter(_v().isNotNull()).select("feature", "value")
+    counts = known.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    of = lambda kind: known.join(counts.filter(kind).select("feature"), "feature")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = special.shapiro_wilk(pdf["value"].tolist())
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(pdf)], "w": [w], "p_value": [p]})
 
-    return long.filter(_v().isNotNull()).join(counts.select("feature"), "feature").select("feature", "value").groupBy("feature").applyInPandas(test, "feature string, n long, w double, p_value double")
+    small = of(F.col("n") <= most).select("feature", "value").groupBy("feature").applyInPandas(test, "feature string, n long, w double, p_value double")
+    return small.withColumn("test", F.lit("shapiro_wilk")).unionByName(anderson_darling(of(F.col("n") > most)).withColumn("test", F.lit("anderson_darling")))
+
+
+def anderson_darling(long: DataFrame) -> DataFrame:
+    """(feature, n, w, p_value): the size-adjusted A squared and its p; a feature of one value has w 0 and p 1."""
+    known = long.filter(_v().isNotNull())
+    moments = by_feature(known).select("feature", "n", "mean", "sd_samp", "low", "high")
+    ranks = value_ranks(value_frequencies(known, ["feature"]), ["feature"])
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return pd.Series([special.log_normal_sf(x) for x in z], dtype="float64")
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series) -> pd.Series:
+        return pd.Series([special.anderson_darling_p(x) for x in a], dtype="float64")
+
+    # the cnt equal values stand at the ranks before + 1 to before + cnt, whose 2 i - 1 add up to cnt (2 before + cnt)
+    z = F.when(F.col("high") > F.col("low"), (_v() - F.col("mean")) / F.col("sd_samp")).otherwise(0.0)
+    up = F.col("cnt") * (2.0 * F.col("before") + F.col("cnt"))
+    down = 2.0 * F.col("cnt") * F.col("n") - up
+    placed = ranks.join(moments, "feature").select("feature", "n", "low", "high", up.alias("up"), down.alias("down"), z.alias("z"))
+    n = F.col("n")
+    a = F.when(F.col("high") > F.col("low"), (-n - F.col("s") / n) * (1 + 0.75 / n + 2.25 / (n * n))).otherwise(0.0)
+    sums = placed.groupBy("feature", "n", "low", "high").agg(F.sum(F.col("up") * tail(-F.col("z")) + F.col("down") * tail("z")).alias("s"))
+    return sums.select("feature", "n", a.alias("w")).withColumn("p_value", F.when(F.col("w") > 0, p("w")).otherwise(1.0))
 
 
 def gene_quality(long: DataFrame) -> DataFrame:

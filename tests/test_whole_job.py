@@ -1,7 +1,12 @@
 """Registered queries answer for all ids, columns and rows, not for a fixed part of them."""
 
+import math
+from statistics import NormalDist
+
+import pytest
 from pyspark.sql import functions as F
 
+from helixmill.operators import quality
 from helixmill.plans import align_queries, export_queries, matrix_queries
 
 
@@ -37,3 +42,16 @@ def test_all_cases_are_in_the_counts_matrix(spark, tmp_path):
     stored(spark.createDataFrame([(i, 7, float(i)) for i in range(1, 8)] + [(5, 8, 2.0), (5, 8, 4.0)], "l_linenumber int, l_partkey long, l_quantity double"), tmp_path, "lineitem")
     rows = {r["gene_id"]: list(r)[1:] for r in export_queries.counts_matrix(spark, str(tmp_path)).collect()}
     assert rows == {7: [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0], 8: [0.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0]}
+
+
+def test_normality_of_large_features(spark):
+    inverse = NormalDist().inv_cdf
+    columns = {"normal": lambda u: round(inverse(u), 2), "even": lambda u: u, "flat": lambda u: 3.0}
+    rows = [(f, v((i + 0.5) / 6000)) for f, v in columns.items() for i in range(6000)] + [("few", float(i * i)) for i in range(9)] + [("two", 1.0), ("two", 2.0)]
+    found = {r["feature"]: r for r in quality.normality(spark.createDataFrame(rows, "feature string, value double")).collect()}
+    assert {f: (r["n"], r["test"]) for f, r in found.items()} == {f: (6000, "anderson_darling") for f in columns} | {"few": (9, "shapiro_wilk")}
+    assert found["normal"]["p_value"] > 0.9 and found["even"]["p_value"] < 1e-9 and (found["flat"]["w"], found["flat"]["p_value"]) == (0.0, 1.0)
+    x = sorted(v for f, v in rows if f == "even")
+    norm = NormalDist.from_samples(x)
+    a = -len(x) - sum((2 * i + 1) * (math.log(norm.cdf(x[i])) + math.log(1 - norm.cdf(x[-1 - i]))) for i in range(len(x))) / len(x)
+    assert found["even"]["w"] == pytest.approx(a * (1 + 0.75 / 6000 + 2.25 / 6000**2), rel=1e-6)
