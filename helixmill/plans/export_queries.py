@@ -189,7 +189,8 @@ def fhir_validation(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT vec_id AS sample, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, round(embedding[1]::DOUBLE, 6) + 0.0 AS d00 FROM embeddings")
 def ml_export(spark: SparkSession, root: str) -> DataFrame:
-    rows = a.embedded_wide(spark, root).select("sample", "label", F.when(F.col("sample") % 5 == 0, "test").otherwise("train").alias("split"), "d00")
+    features = [f"d{i:02d}" for i in range(a.DIMS)]
+    rows = a.embedded_wide(spark, root).select("sample", "label", F.when(F.col("sample") % 5 == 0, "test").otherwise("train").alias("split"), *features)
     path = _path(spark)
     exports.write_learning_set(rows, path, "sample", "label")
-    return a.tidy(spark.read.parquet(f"{path}/data").select("sample", "label", "split", "d00"), ["d00"])
+    return a.tidy(spark.read.parquet(f"{path}/data").select("sample", "label", "split", *features), features)

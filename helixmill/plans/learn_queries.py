@@ -110,7 +110,7 @@ def rfe_features(spark: SparkSession, root: str) -> DataFrame:
 
 def _judged(spark: SparkSession, root: str, model: str) -> DataFrame:
     wide = a.embedded_wide(spark, root).withColumn("split", learn.split_column(F.col("sample")))
-    return learn.confusion(learn.evaluate(wide, COLS[:16], "label", model)[0])
+    return learn.confusion(learn.evaluate(wide, COLS, "label", model)[0])
 
 
 @query()

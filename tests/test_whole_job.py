@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.operators import quality
-from helixmill.plans import align_queries, export_queries, matrix_queries
+from helixmill.plans import align_queries, export_queries, learn_queries, matrix_queries
 
 
 def stored(df, root, name):
@@ -55,3 +55,13 @@ def test_normality_of_large_features(spark):
     norm = NormalDist.from_samples(x)
     a = -len(x) - sum((2 * i + 1) * (math.log(norm.cdf(x[i])) + math.log(1 - norm.cdf(x[-1 - i]))) for i in range(len(x))) / len(x)
     assert found["even"]["w"] == pytest.approx(a * (1 + 0.75 / 6000 + 2.25 / 6000**2), rel=1e-6)
+
+
+def test_all_numbers_of_a_vector_are_learnt_from_and_exported(spark, tmp_path):
+    rows = [(i, i % 3 % 2, [1.0] * 16 + [float(i % 3 % 2)] * 47 + [float(i)]) for i in range(300)]
+    stored(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), tmp_path, "embeddings")
+    for query in (learn_queries.rf_confusion, learn_queries.logistic_confusion):
+        assert all(r["label"] == r["prediction"] for r in query(spark, str(tmp_path)).collect())
+    assert {r["f1"] for r in learn_queries.rf_class_report(spark, str(tmp_path)).collect()} == {1.0}
+    out = {r["sample"]: r for r in export_queries.ml_export(spark, str(tmp_path)).collect()}
+    assert len(out) == 300 and list(out[7])[3:] == rows[7][2]
