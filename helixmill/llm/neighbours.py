@@ -45,22 +45,33 @@ class BlockMaxIndex:
 
     def nearest(self, row: Sequence[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices and cosines of the ``k`` nearest examples that share a feature, nearest first."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        cols, vals = weigh(row, self.idf)
-        start, end = self.post_ptr[cols], self.post_ptr[cols + 1]
-        size = end - start
-        total = int(size.sum())
-        if not total:
-            return none
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-        bound = np.bincount(self.post_block[at], weights=np.repeat(vals, size) * self.post_max[at], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        bounds = bound[order]
+        return self.nearest_many([row], k)[0]
+
+    def nearest_many(self, rows: Sequence[Sequence[int]], k: int, batch: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every row; the bounds of ``batch`` rows are summed at once."""
+        out = []
+        for start in range(0, len(rows), batch):
+            weighed = [weigh(r, self.idf) for r in rows[start : start + batch]]
+            sizes = np.array([len(c) for c, _ in weighed], dtype=np.int64)
+            cols, vals = np.concatenate([c for c, _ in weighed]), np.concatenate([v for _, v in weighed])
+            first, end = self.post_ptr[cols], self.post_ptr[cols + 1]
+            spread = end - first
+            total = int(spread.sum())
+            at = np.repeat(first - (np.cumsum(spread) - spread), spread) + np.arange(total)
+            of = np.repeat(np.repeat(np.arange(len(weighed)), sizes), spread)
+            bounds = np.bincount(of * self.blocks + self.post_block[at], weights=np.repeat(vals, spread) * self.post_max[at], minlength=len(weighed) * self.blocks)
+            out += [self._search(c, v, b, k) for (c, v), b in zip(weighed, bounds.reshape(len(weighed), self.blocks))]
+        return out
+
+    def _search(self, cols: np.ndarray, vals: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Score blocks in the order of their bounds until none left can hold one of the ``k`` nearest."""
+        ids, sims, floor = np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0
+        order = np.flatnonzero(bound > 0)
+        order = order[np.argsort(-bound[order], kind="stable")]
         self._q[cols] = vals
-        ids, sims, floor = none[0], none[1], -1.0
-        for block, most in zip(order.tolist(), bounds.tolist()):
+        for block, most in zip(order.tolist(), bound[order].tolist()):
             # the bound is rounded otherwise than the sum; a hair of slack keeps the search exact
-            if most <= 0 or most < floor - 1e-5:
+            if most < floor - 1e-5:
                 break
             lo, hi = block * BLOCK, min((block + 1) * BLOCK, self.n)
             a, z = self.indptr[lo], self.indptr[hi]

@@ -81,3 +81,57 @@ def test_without_labels_and_without_documents(spark):
     got = {r["doc_id"]: r["score"] for r in content.all_scores(few, labels.limit(0)).collect()}
     assert set(got) == {0, 1, 1000} and got[1] < content.THRESHOLD and got[1000] == 0
     assert content.all_scores(docs.limit(0), labels).count() == 0
+
+
+SECRET = "Nobody could ever want such a rotten turnip as our dear colleague."
+
+
+@pytest.mark.parametrize("n", [1, 6, 60])
+def test_a_copy_of_a_labelled_passage_is_found_with_any_number_of_labels(spark, n):
+    docs = [(i, " ".join(HARMLESS[(i + k) % len(HARMLESS)] for k in range(3)), "s") for i in range(200)]
+    docs += [(1000 + i, f"{HARMLESS[i % 5]} {SECRET}", "s") for i in range(n)] + [(5000, SECRET, "s"), (5001, f"{HARMLESS[0]} {SECRET.upper()}", "s")]
+    labels = [(i, "r", "none") for i in range(100)] + [(1000 + i, "r", "abusive") for i in range(n)]
+    got = content.score_documents(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, annotator string, category string"))
+    found = {r["doc_id"]: r for r in got.filter(F.col("score") >= content.THRESHOLD).collect()}
+    assert set(found) == {1000 + i for i in range(n)} | {5000, 5001}
+    assert found[5000]["like_passage"] == SECRET and found[5000]["like_doc_id"] == 1000
+
+
+@given(st.lists(st.tuples(st.floats(0, 1), st.booleans()), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_the_curve_gives_a_full_vote_a_high_score(held):
+    slope, offset = content.calibrate(np.array([v for v, _ in held]), np.array([float(y) for _, y in held]), np.ones(len(held)))
+    model = content.Model(None, None, None, [], slope, offset)
+    assert model.probability(1.0) >= 0.9 and model.probability(0.25) < content.THRESHOLD
+
+
+def test_readers_who_disagree_make_single_labels_worth_less():
+    import pandas as pd
+
+    positive = pd.DataFrame({"n_positive": [1, 2, 1], "n_none": [0, 0, 1]})
+    assert content.label_worth(positive, 100, 0, 0).tolist() == [1.0, 1.0, 0.5]
+    worth = content.label_worth(positive, 100, 50, 2)
+    assert worth[1] > 0.9 > worth[0] > worth[2]
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """Scoring from another folder, with the package known to the driver alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    (tmp_path / "job.py").write_text(
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from helixmill.session import local_session\nfrom helixmill.llm import content\nfrom helixmill.operators import impute\n"
+        "spark = local_session('2', 2)\n"
+        "docs = spark.createDataFrame([(1, 'You are a stupid idiot.'), (2, 'The tube is full.')], 'doc_id long, text string')\n"
+        "labels = spark.createDataFrame([], 'doc_id long, annotator string, category string')\n"
+        "print('FOUND', [r[0] for r in content.score_documents(docs, labels).filter('score >= 0.5').collect()])\n"
+        "gaps = spark.createDataFrame([(1, 1.0, 2.0), (2, 1.5, None), (3, 9.0, 8.0)], 'k long, a double, b double')\n"
+        "print('FILLED', impute.impute_knn(gaps, 'k', ['a', 'b'], 1).filter('k = 2').first()['b'])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND [1]" in out.stdout and "FILLED 2.0" in out.stdout, out.stderr[-2000:]
