@@ -2,8 +2,8 @@
 
 Examples are kept in blocks. For every feature the index knows the largest weight it has in
 each block, so one sum over a query's features bounds the cosine of all examples of a block.
-Blocks are scored in the order of their bounds until the next bound is below the k-th best
-cosine found; what is skipped cannot be among the k nearest.
+The blocks of the largest bounds are scored first; then all whose bound reaches the k-th best
+cosine found. What is skipped cannot be among the k nearest.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 from pyspark import cloudpickle
 
 BLOCK = 32
+#: Blocks scored before the first pruning.
+FIRST = 4
 
 
 class BlockMaxIndex:
@@ -23,72 +25,59 @@ class BlockMaxIndex:
         self.n = len(rows)
         vectors = [weigh(r, idf) for r in rows]
         lengths = np.array([len(c) for c, _ in vectors], dtype=np.int64)
-        self.indptr = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        self.cols = np.concatenate([c for c, _ in vectors]) if self.n else np.zeros(0, np.int64)
-        self.vals = np.concatenate([v for _, v in vectors]) if self.n else np.zeros(0, np.float32)
+        cols = np.concatenate([c for c, _ in vectors]) if self.n else np.zeros(0, np.int64)
+        vals = np.concatenate([v for _, v in vectors]) if self.n else np.zeros(0, np.float32)
+        example = np.repeat(np.arange(self.n), lengths)
         self.blocks = -(-self.n // BLOCK)
-        block = np.repeat(np.arange(self.n) // BLOCK, lengths)
-        order = np.lexsort((block, self.cols))
-        c, b, v = self.cols[order], block[order], self.vals[order]
-        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (b[1:] != b[:-1])])) if len(c) else np.zeros(0, np.int64)
-        self.post_block = b[first].astype(np.int32)
-        self.post_max = np.maximum.reduceat(v, first) if len(c) else np.zeros(0, np.float32)
+        # postings by feature, within it by block: the examples and their weights
+        order = np.lexsort((example, cols))
+        c, self.examples, self.weights = cols[order], example[order].astype(np.int32), vals[order]
+        block = self.examples // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])) if len(c) else np.zeros(0, np.int64)
+        self.within = np.concatenate([first, [len(c)]]).astype(np.int64)
+        self.post_block = block[first].astype(np.int32)
+        self.post_max = np.maximum.reduceat(self.weights, first) if len(c) else np.zeros(0, np.float32)
         self.post_ptr = np.searchsorted(c[first], np.arange(len(idf) + 1)).astype(np.int64)
-        self._q = np.zeros(len(idf), dtype=np.float32)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_q"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._q = np.zeros(len(self.idf), dtype=np.float32)
 
     def nearest(self, row: Sequence[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices and cosines of the ``k`` nearest examples that share a feature, nearest first."""
-        return self.nearest_many([row], k)[0]
-
-    def nearest_many(self, rows: Sequence[Sequence[int]], k: int, batch: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of every row; the bounds of ``batch`` rows are summed at once."""
-        out = []
-        for start in range(0, len(rows), batch):
-            weighed = [weigh(r, self.idf) for r in rows[start : start + batch]]
-            sizes = np.array([len(c) for c, _ in weighed], dtype=np.int64)
-            cols, vals = np.concatenate([c for c, _ in weighed]), np.concatenate([v for _, v in weighed])
-            first, end = self.post_ptr[cols], self.post_ptr[cols + 1]
-            spread = end - first
-            total = int(spread.sum())
-            at = np.repeat(first - (np.cumsum(spread) - spread), spread) + np.arange(total)
-            of = np.repeat(np.repeat(np.arange(len(weighed)), sizes), spread)
-            bounds = np.bincount(of * self.blocks + self.post_block[at], weights=np.repeat(vals, spread) * self.post_max[at], minlength=len(weighed) * self.blocks)
-            out += [self._search(c, v, b, k) for (c, v), b in zip(weighed, bounds.reshape(len(weighed), self.blocks))]
-        return out
-
-    def _search(self, cols: np.ndarray, vals: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Score blocks in the order of their bounds until none left can hold one of the ``k`` nearest."""
-        ids, sims, floor = np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0
-        order = np.flatnonzero(bound > 0)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        self._q[cols] = vals
-        for block, most in zip(order.tolist(), bound[order].tolist()):
+        cols, vals = weigh(row, self.idf)
+        entries, at = _ranges(self.post_ptr[cols], self.post_ptr[cols + 1])
+        weight = vals[at]
+        bound = np.bincount(self.post_block[entries], weights=weight * self.post_max[entries], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        done = np.zeros(self.blocks, dtype=bool)
+        done[order[:FIRST]] = True
+        sims = self._cosines(entries, weight, done)
+        if len(order) > FIRST:
             # the bound is rounded otherwise than the sum; a hair of slack keeps the search exact
-            if most < floor - 1e-5:
-                break
-            lo, hi = block * BLOCK, min((block + 1) * BLOCK, self.n)
-            a, z = self.indptr[lo], self.indptr[hi]
-            product = self._q[self.cols[a:z]] * self.vals[a:z]
-            sums = np.concatenate([[0.0], np.cumsum(product, dtype=np.float64)])
-            found = (sums[self.indptr[lo + 1 : hi + 1] - a] - sums[self.indptr[lo:hi] - a]).astype(np.float32)
-            keep = np.flatnonzero(found > max(floor, 1e-6))
-            if keep.size:
-                ids, sims = np.concatenate([ids, keep + lo]), np.concatenate([sims, found[keep]])
-                if len(ids) > k:
-                    best = np.lexsort((ids, -sims))[:k]
-                    ids, sims = ids[best], sims[best]
-                if len(ids) >= k:
-                    floor = float(sims.min())
-        self._q[cols] = 0
-        best = np.lexsort((ids, -sims))[:k]
-        return ids[best], sims[best]
+            floor = np.partition(sims, -k)[-k] - 1e-5 if self.n > k else 0.0
+            more = order[FIRST:][bound[order[FIRST:]] >= max(floor, 0.0)]
+            if len(more):
+                done[:] = False
+                done[more] = True
+                sims += self._cosines(entries, weight, done)
+        found = np.flatnonzero(sims > 1e-6)
+        best = found[np.lexsort((found, -sims[found]))[:k]]
+        return best, sims[best].astype(np.float32)
+
+    def nearest_many(self, rows: Sequence[Sequence[int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.nearest(r, k) for r in rows]
+
+    def _cosines(self, entries: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in the wanted blocks, 0 elsewhere."""
+        keep = wanted[self.post_block[entries]]
+        entries = entries[keep]
+        places, at = _ranges(self.within[entries], self.within[entries + 1])
+        return np.bincount(self.examples[places], weights=weight[keep][at] * self.weights[places].astype(np.float64), minlength=self.n)
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and of which range each is."""
+    size = end - first
+    at = np.repeat(np.arange(len(size)), size)
+    return np.arange(int(size.sum())) + (first - (np.cumsum(size) - size))[at], at
 
 
 def weigh(row: Sequence[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
