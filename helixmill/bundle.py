@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from helixmill.operators import align, fuse, impute
+from helixmill.operators import align, fuse, impute, normalize
+from helixmill.operators.matrix import numeric_columns
 from helixmill.operators.quality import modality_report
 
 
@@ -35,8 +36,12 @@ class OmicsTables:
     def impute(self, strategy: str = "median", by_modality: Mapping[str, str] | None = None) -> OmicsTables:
         return self.map(lambda n, t: impute.impute(t, (by_modality or {}).get(n, strategy), key=self.key))
 
-    def scale(self, method: str = "standard") -> OmicsTables:
-        return self.map(lambda _, t: fuse.scale_columns(t, self.key, method))
+    def scale(self, method: str = "standard", by_modality: Mapping[str, str] | None = None) -> OmicsTables:
+        return self.map(lambda n, t: fuse.scale_columns(t, self.key, (by_modality or {}).get(n, method)))
+
+    def fit(self, method: str = "standard", by_modality: Mapping[str, str] | None = None) -> FittedTables:
+        """Statistics of every table by its method, to be applied to this or to another bundle."""
+        return FittedTables({n: normalize.fit_columns(t, numeric_columns(t, [self.key]), (by_modality or {}).get(n, method)) for n, t in self.tables.items()})
 
     def align(self) -> OmicsTables:
         return OmicsTables(align.align(self.tables, self.key), self.key, self.problems)
@@ -50,3 +55,13 @@ class OmicsTables:
         for r in rows[1:]:
             out = out.unionByName(r)
         return out
+
+
+@dataclass(frozen=True)
+class FittedTables:
+    """Fitted statistics by modality; tables of other names stay as they are."""
+
+    fitted: Mapping[str, normalize.FittedColumns]
+
+    def transform(self, bundle: OmicsTables) -> OmicsTables:
+        return OmicsTables({n: self.fitted[n].transform(t) if n in self.fitted else t for n, t in bundle.tables.items()}, bundle.key, bundle.problems)

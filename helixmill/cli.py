@@ -8,7 +8,8 @@ import logging
 import sys
 
 from helixmill.config import Config
-from helixmill.plans.pipeline import run_checked
+from helixmill.operators import learn
+from helixmill.plans.pipeline import pipeline_options, run_checked
 from helixmill.session import local_session
 from helixmill.sources import exports, readers
 
@@ -20,19 +21,19 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--output", required=True)
     p.add_argument("--key", default="patient_id")
     p.add_argument("--config")
-    p.add_argument("--format", choices=["csv", "json", "jsonl", "parquet"], default="csv")
+    p.add_argument("--format", choices=["csv", "json", "jsonl", "parquet", "ml"], default=None, help="else the configuration's export.format")
     a = p.parse_args(args)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     config = Config.from_yaml(a.config) if a.config else Config()
     spark = local_session()
     omic, clinical = readers.read_csv(spark, a.omic), readers.read_csv(spark, a.clinical)
-    out = run_checked(omic, clinical, a.key, imputation=config.get("preprocessing.imputation.method"), normalisation=config.get("preprocessing.normalization.method"))
+    out = run_checked(omic, clinical, a.key, **pipeline_options(config))
     if out["status"] != "success":
         logging.error("%s", out["error"])
         return 1
     data = out.pop("data")
-    write = {"csv": lambda: exports.write_csv(data, a.output, metadata={"key": a.key}), "json": lambda: exports.write_json(data, a.output, schema=True), "jsonl": lambda: exports.write_json_lines(data, a.output), "parquet": lambda: exports.write_parquet(data, a.output)}
-    write[a.format]()
+    write = {"csv": lambda: exports.write_csv(data, a.output, sep=config.get("export.sep"), metadata={"key": a.key}), "json": lambda: exports.write_json(data, a.output, schema=True), "jsonl": lambda: exports.write_json_lines(data, a.output), "parquet": lambda: exports.write_parquet(data, a.output), "ml": lambda: exports.write_learning_set(learn.stratified_split(data, a.key, config.get("export.target"), config.get("export.test_size")), a.output, a.key, config.get("export.target"))}
+    write[a.format or config.get("export.format")]()
     print(json.dumps(out))
     return 0
 

@@ -9,15 +9,17 @@ from typing import Any
 from helixmill.errors import ConfigurationError
 
 DEFAULTS: dict[str, Any] = {
-    "preprocessing": {"imputation": {"method": "knn", "k": 5, "threshold_missing": 0.5}, "normalization": {"method": "log2_scale"}, "outliers": {"method": "iqr", "contamination": 0.05}},
-    "integration": {"methods": ["early"], "scaling": "standard", "components": 50, "scale_features": True},
-    "export": {"format": "csv", "sep": "\t", "test_size": 0.2, "k_best": 1000},
+    "preprocessing": {"imputation": {"method": "knn", "k": 5, "threshold_missing": 0.5}, "normalization": {"method": "log2_scale"}, "outliers": {"method": "none", "contamination": 0.05}},
+    "integration": {"scaling": "standard", "scale_features": False},
+    "export": {"format": "csv", "sep": ",", "target": None, "test_size": 0.2},
 }
 # What the methods may be called.
 ALLOWED = {
     "preprocessing.imputation.method": {"knn", "knn_distance", "median", "mean", "most_frequent", "constant", "iterative"},
     "preprocessing.normalization.method": {"log2_scale", "tmm", "tpm", "zscore", "median_centering", "pareto_scaling", "standard", "minmax", "robust", "quantile"},
-    "preprocessing.outliers.method": {"iqr", "zscore", "isolation_forest"},
+    "preprocessing.outliers.method": {"iqr", "zscore", "isolation_forest", "none"},
+    "integration.scaling": {"standard", "minmax", "robust", "none"},
+    "export.format": {"csv", "json", "jsonl", "parquet", "ml"},
 }
 
 

@@ -9,20 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.errors import IntegrationError
-from helixmill.functions.text import clean_number
 from helixmill.operators import align
 from helixmill.operators.matrix import numeric_columns, prefixed
+from helixmill.operators.normalize import normalize_wide
 
 
 def scale_columns(df: DataFrame, key: str, method: str = "standard") -> DataFrame:
-    """Scale the number columns of a wide table: one aggregation, then a projection."""
-    columns = numeric_columns(df, [key])
-    if method not in ("standard", "minmax") or not columns:
-        return df
-    clean = {c: clean_number(F.col(f"`{c}`")) for c in columns}
-    centre, spread = (F.avg, F.stddev_pop) if method == "standard" else (F.min, lambda x: F.max(x) - F.min(x))
-    row = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(clean.values()) for n, f in (("a", centre), ("b", spread))]).first()
-    return df.withColumns({c: (x - F.lit(row[f"a{i}"])) / F.lit(row[f"b{i}"] or 1.0) for i, (c, x) in enumerate(clean.items())})
+    """Scale the number columns of a wide table by any method of ``normalize``; ``none`` leaves them as they are."""
+    return df if method == "none" else normalize_wide(df, key, method)
 
 
 def join_on(tables: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -75,19 +75,36 @@ def best_matches(a: DataFrame, b: DataFrame, column_a: str, column_b: str, toler
     return exact.unionByName(best)
 
 
-def groups(strings: DataFrame, column: str, tolerance: float = 0.8, most_rounds: int = 50) -> DataFrame:
+def groups(strings: DataFrame, column: str, tolerance: float = 0.8) -> DataFrame:
     """(column, representative): connected by similarity; the first by name stands for its group.
 
     A greedy grouping depends on the order in which strings come; components do not.
     """
     a = strings.select(F.col(column).alias("a")).filter("a IS NOT NULL").distinct()
     edges = similar_pairs(a, a.withColumnRenamed("a", "b"), "a", "b", tolerance).filter("a <> b").select("a", "b")
-    edges = durable(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = durable(a.withColumn("l", F.col("a")))
-    for _ in range(most_rounds):
-        near = edges.join(label.withColumnsRenamed({"a": "b", "l": "m"}), "b").groupBy("a").agg(F.min("m").alias("m"))
-        after = durable(label.join(near, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"), (F.coalesce("m", "l") < F.col("l")).alias("moved")))
-        label = after.select("a", "l")
-        if not after.filter("moved").limit(1).count():
+    found = components(edges)
+    return a.join(found, a["a"] == found["node"], "left").select(F.col("a").alias(column), F.coalesce("component", "a").alias("representative"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the graph of ``edges`` (a, b): the smallest node of each connected part.
+
+    Large stars and small stars alternate (Kiveris and others 2014) until no edge changes, which
+    takes a number of rounds that grows with the logarithm of the longest chain.
+    """
+    ordered = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = ordered.union(ordered.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # every larger neighbour goes to the smallest node around
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # every smaller neighbour, and the node itself, goes to the smallest of them
+        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(floor, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        after = durable(small.filter("a <> b").distinct())
+        same = after.count() == ordered.count() and not after.join(ordered, ["a", "b"], "left_anti").limit(1).count()
+        ordered = after
+        if same:
             break
-    return label.select(F.col("a").alias(column), F.col("l").alias("representative"))
+    nodes = ordered.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.union(ordered.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

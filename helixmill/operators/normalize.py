@@ -6,14 +6,16 @@ broadcasts them where they are small and shuffles where they are not.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from math import e
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.errors import PreprocessingError
-from helixmill.operators.matrix import by_feature, feature_quantiles, nonzero, value_frequencies
+from helixmill.functions.text import clean_number
+from helixmill.operators.matrix import by_feature, feature_quantiles, nonzero, numeric_columns, to_long, to_wide, value_frequencies
 from helixmill.operators.value_counts import quantiles, value_ranks
 
 def _v() -> Column:
@@ -170,3 +172,71 @@ def normalize(long: DataFrame, kind: str = "generic", method: str | None = None,
     if name not in methods:
         raise PreprocessingError(f"{kind} has no method {name}; it has {', '.join(methods)}")
     return methods[name](long, **options)
+
+
+@dataclass(frozen=True)
+class FittedColumns:
+    """Centre and divisor of every column of a wide table; ``transform`` is a projection and also runs on streams."""
+
+    stats: Mapping[str, tuple[float, float]]
+    logged: bool = False
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = {}
+        for c, (centre, divisor) in self.stats.items():
+            x = clean_number(F.col(f"`{c}`"))
+            x = F.when(x > -1, F.log2(x + 1)) if self.logged else x
+            out[c] = (x - F.lit(centre)) / F.lit(divisor) if divisor else x
+        return df.withColumns(out)
+
+
+#: Methods whose statistics are a centre and a divisor of each column.
+BY_COLUMN = ("standard", "zscore", "auto_scaling", "minmax", "range_scaling", "robust", "median_centering", "pareto_scaling", "log2_scale")
+#: Methods that compare the features of a sample, or samples with each other; lengths are taken as equal.
+BY_SAMPLE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "tpm": lambda long: fpkm(long, None), "fpkm": lambda long: fpkm(long, None), "deseq2_size_factors": by_size_factor, "tmm": by_trimmed_mean, "quantile": quantile_normalize, "log_transform": log_transform,
+}
+
+
+def fit_columns(df: DataFrame, columns: Sequence[str], method: str = "standard") -> FittedColumns:
+    """The statistics of ``method`` for number columns: one aggregation, for quartiles one over value counts.
+
+    A divisor of 0, or of nothing, divides by 1; for ``log2_scale`` such columns stay logarithms.
+    """
+    if method not in BY_COLUMN:
+        raise PreprocessingError(f"no method {method} for single columns; there are {', '.join(BY_COLUMN)}")
+    columns = list(columns)
+    if not columns:
+        return FittedColumns({})
+    clean = [clean_number(F.col(f"`{c}`")) for c in columns]
+    logged = method == "log2_scale"
+    if method in ("robust", "median_centering"):
+        long = to_long(df.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_k", F.lit(0)), "_k", columns)
+        found = {r["feature"]: r for r in feature_quantiles(long, {"q1": 0.25, "m": 0.5, "q3": 0.75}).collect()}
+        return FittedColumns({c: (found[c]["m"], (found[c]["q3"] - found[c]["q1"] or 1.0) if method == "robust" else 1.0) if c in found else (0.0, 1.0) for c in columns})
+    clean = [F.log2(F.when(x > -1, x) + 1) for x in clean] if logged else clean
+    first, second = {"minmax": (F.min, F.max), "range_scaling": (F.min, F.max), "pareto_scaling": (F.avg, F.stddev_samp), "log2_scale": (F.avg, F.stddev_samp)}.get(method, (F.avg, F.stddev_pop))
+    row = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(clean) for n, f in (("a", first), ("b", second))]).first()
+    stats = {}
+    for i, c in enumerate(columns):
+        a, b = row[f"a{i}"] or 0.0, row[f"b{i}"] or 0.0
+        divisor = b - a if second is F.max else b**0.5 if method == "pareto_scaling" else b
+        stats[c] = (a, divisor or (0.0 if logged else 1.0))
+    return FittedColumns(stats, logged)
+
+
+def normalize_wide(df: DataFrame, key: str, method: str = "log2_scale", columns: Sequence[str] | None = None) -> DataFrame:
+    """A wide table with its number columns normalised by any of the methods; unknown ones are refused.
+
+    Methods over samples go through the long form, in which one row per key is expected.
+    """
+    columns = list(columns if columns is not None else numeric_columns(df, [key]))
+    if method in BY_COLUMN:
+        return fit_columns(df, columns, method).transform(df)
+    if method not in BY_SAMPLE:
+        raise PreprocessingError(f"no normalisation {method}; there are {', '.join([*BY_COLUMN, *BY_SAMPLE])}")
+    long = to_long(df, key, columns).withColumnRenamed(key, "sample")
+    wide = to_wide(BY_SAMPLE[method](long), "sample", "feature", "value", columns)
+    wide = wide.select(F.col("sample").alias("_key"), *[F.col(f"`{c}`").alias(f"_n{i}") for i, c in enumerate(columns)])
+    joined = df.join(wide, df[key] == wide["_key"], "left")
+    return joined.select(*[F.col(f"_n{columns.index(c)}").alias(c) if c in columns else df[f"`{c}`"] for c in df.columns])

@@ -2,62 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.config import Config
 from helixmill.errors import IntegrationError
-from helixmill.functions.text import clean_number
-from helixmill.operators import align, fuse, impute, quality
-from helixmill.operators.matrix import categorical_columns, numeric_columns, to_wide
+from helixmill.operators import align, fuse, impute, learn, quality
+from helixmill.operators.matrix import numeric_columns, to_long, to_wide
+from helixmill.operators.normalize import normalize_wide
 from helixmill.plans import adapters as a
 from helixmill.session import durable, table
 
 
-@dataclass(frozen=True)
-class Fitted:
-    """Statistics of a wide log2 z-score; ``transform`` is a projection and also runs on streams."""
-
-    stats: dict[str, tuple[float, float]]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = {}
-        for c, (mean, sd) in self.stats.items():
-            x = clean_number(F.col(f"`{c}`"))
-            y = F.when(x > -1, F.log2(x + 1))
-            out[c] = (y - F.lit(mean)) / F.lit(sd) if sd else y
-        return df.withColumns(out)
+def preprocess(df: DataFrame, key: str, strategy: str = "median", k: int = 5, sparse: float = 1.0) -> DataFrame:
+    """Drop columns that miss more than the share ``sparse``, then impute."""
+    kept = df if sparse >= 1 else impute.drop_sparse(df, sparse, [key])
+    return impute.impute(kept, strategy, key=key, k=k)
 
 
-def fit_log2_zscore(df: DataFrame, columns: Sequence[str]) -> Fitted:
-    logs = [F.log2(F.when(clean_number(F.col(f"`{c}`")) > -1, clean_number(F.col(f"`{c}`"))) + 1) for c in columns]
-    row = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(logs) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    return Fitted({c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(columns)})
-
-
-def preprocess(df: DataFrame, key: str, strategy: str = "median") -> DataFrame:
-    return impute.impute(df, strategy, key=key)
+def normalise(df: DataFrame, key: str, method: str = "log2_scale") -> DataFrame:
+    return normalize_wide(df, key, method)
 
 
-def normalise(df: DataFrame, key: str, method: str = "log2_scale") -> DataFrame:
+def outlying(df: DataFrame, key: str, method: str, contamination: float = 0.05) -> DataFrame:
+    """The keys of outlying rows by fences, by z-scores, or the share ``contamination`` by an isolation forest."""
     columns = numeric_columns(df, [key])
-    if method == "log2_scale":
-        return fit_log2_zscore(df, columns).transform(df)
-    return fuse.scale_columns(df, key, "standard" if method in ("zscore", "standard") else method)
+    if method == "isolation_forest":
+        return learn.isolation_outliers(learn.isolation_scores(df, key, columns), contamination).select(key)
+    return quality.outliers(to_long(df, key, columns), method, key=key)
 
 
-def run(omic: DataFrame, clinical: DataFrame, key: str, imputation: str = "median", normalisation: str = "log2_scale", scale: bool = False) -> DataFrame:
-    """Impute both tables, normalise the omic one, keep the common samples and join them."""
-    ready = {"omic": normalise(preprocess(omic, key, imputation), key, normalisation), "clinical": preprocess(clinical, key, imputation)}
+def run(omic: DataFrame, clinical: DataFrame, key: str, imputation: str = "median", normalisation: str = "log2_scale", scale: bool | str = False, k: int = 5, sparse: float = 1.0, outliers: str = "none", contamination: float = 0.05) -> DataFrame:
+    """Impute both tables, drop outlying samples, normalise the omic one, keep the common samples and join them."""
+    measured = preprocess(omic, key, imputation, k, sparse)
+    if outliers != "none":
+        measured = quality.remove_rows(measured, outlying(measured, key, outliers, contamination), key)
+    ready = {"omic": normalise(measured, key, normalisation), "clinical": preprocess(clinical, key, imputation, k, sparse)}
     aligned = align.align(ready, key)
     out = fuse.join_on(aligned, key)
     if scale:
-        out = fuse.scale_columns(out, key)
+        out = fuse.scale_columns(out, key, "standard" if scale is True else scale)
     return out
 
 
+def pipeline_options(config: Config) -> dict[str, object]:
+    """The options of ``run`` that a configuration stands for."""
+    get = config.get
+    return {
+        "imputation": get("preprocessing.imputation.method"), "k": int(get("preprocessing.imputation.k")), "sparse": float(get("preprocessing.imputation.threshold_missing")),
+        "normalisation": get("preprocessing.normalization.method"), "outliers": get("preprocessing.outliers.method"), "contamination": float(get("preprocessing.outliers.contamination")),
+        "scale": get("integration.scaling") if get("integration.scale_features") else False,
+    }
+
+
 def summary(df: DataFrame, key: str) -> DataFrame:
     """One row: samples, features and the percentage of cells that are filled."""
     columns = [c for c in df.columns if c != key]
@@ -102,18 +99,47 @@ def pipeline_summary(spark: SparkSession, root: str) -> DataFrame:
     return a.tidy(summary(run(omic, clinical, "s_suppkey"), "s_suppkey"), ["completeness_percent"])
 
 
-def preprocess_categorical(df: DataFrame, key: str) -> list[str]:
-    return categorical_columns(df, [key])
+def _normalised_by(method: str):
+    def query(spark: SparkSession, root: str) -> DataFrame:
+        omic, clinical = _inputs(spark, root)
+        return a.tidy(a.tidy(run(omic, clinical, "s_suppkey", normalisation=method), BRAND_COLUMNS, 5), ["balance"], 4)
 
+    query.__name__ = f"pipeline_{method}"
+    return query
 
-QUERIES = {f.__name__: f for f in (pipeline_flagship, pipeline_summary)}
 
-_SQL = f"""WITH {a.COUNTS}, w AS (SELECT sample AS s_suppkey, {", ".join(f"avg(value) FILTER (feature = 'Brand#{i}' AND (sample * 7 + {i} * 3) % 11 <> 0) AS b{i:02d}" for i in range(1, 26))} FROM counts GROUP BY ALL),
-  l AS (SELECT s_suppkey, {", ".join(f"log2(coalesce({c}, median({c}) OVER ()) + 1) AS {c}" for c in BRAND_COLUMNS)} FROM w),
-  z AS (SELECT s_suppkey, {", ".join(f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE {c} END AS {c}" for c in BRAND_COLUMNS)} FROM l),
+METHODS = ("zscore", "minmax", "robust", "median_centering", "pareto_scaling", "tpm", "quantile", "tmm")
+QUERIES = {f.__name__: f for f in (pipeline_flagship, pipeline_summary, *map(_normalised_by, METHODS))}
+
+_INPUT = f"""{a.COUNTS}, w AS (SELECT sample AS s_suppkey, {", ".join(f"avg(value) FILTER (feature = 'Brand#{i}' AND (sample * 7 + {i} * 3) % 11 <> 0) AS b{i:02d}" for i in range(1, 26))} FROM counts GROUP BY ALL),
+  l AS (SELECT s_suppkey, {", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in BRAND_COLUMNS)} FROM w),
   g AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 <> 0 THEN s_acctbal END AS balance, CASE WHEN s_suppkey % 9 <> 0 THEN r_name END AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   c AS (SELECT s_suppkey, coalesce(balance, median(balance) OVER ()) AS balance, coalesce(region, (SELECT region FROM g WHERE region IS NOT NULL GROUP BY region ORDER BY count(*) DESC, region LIMIT 1)) AS region FROM g)"""
+_SQL = f"""WITH {_INPUT}, k AS (SELECT s_suppkey, {", ".join(f"log2({c} + 1) AS {c}" for c in BRAND_COLUMNS)} FROM l),
+  z AS (SELECT s_suppkey, {", ".join(f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE {c} END AS {c}" for c in BRAND_COLUMNS)} FROM k)"""
 ORACLE = {
     "pipeline_flagship": f"{_SQL} SELECT s_suppkey, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in BRAND_COLUMNS)}, round(balance, 4) + 0.0 AS balance, region FROM z JOIN c USING (s_suppkey)",
     "pipeline_summary": f"{_SQL} SELECT count(*) AS n_samples, 27::BIGINT AS n_features, 100.0 AS completeness_percent FROM z JOIN c USING (s_suppkey)",
 }
+
+_BY_COLUMN = {
+    "zscore": "({0} - avg({0}) OVER ()) / coalesce(nullif(stddev_pop({0}) OVER (), 0), 1)",
+    "minmax": "({0} - min({0}) OVER ()) / coalesce(nullif(max({0}) OVER () - min({0}) OVER (), 0), 1)",
+    "robust": "({0} - median({0}) OVER ()) / coalesce(nullif(quantile_cont({0}, 0.75) OVER () - quantile_cont({0}, 0.25) OVER (), 0), 1)",
+    "median_centering": "{0} - median({0}) OVER ()",
+    "pareto_scaling": "({0} - avg({0}) OVER ()) / coalesce(nullif(sqrt(stddev_samp({0}) OVER ()), 0), 1)",
+    "tpm": "{0} * 1e6 / (" + " + ".join(BRAND_COLUMNS) + ")",
+}
+_ROWS = f"""u AS (SELECT s_suppkey, feature, v FROM l UNPIVOT (v FOR feature IN ({", ".join(BRAND_COLUMNS)}))),
+  r AS (SELECT *, floor(rank() OVER (PARTITION BY s_suppkey ORDER BY v) - 1 + (count(*) OVER (PARTITION BY s_suppkey, v) + 1) / 2.0) AS low, row_number() OVER (PARTITION BY s_suppkey ORDER BY v) AS no FROM u),
+  m AS (SELECT no, avg(v) AS mean FROM r GROUP BY no), z AS (SELECT s_suppkey, {", ".join(f"max(mean) FILTER (feature = '{c}') AS {c}" for c in BRAND_COLUMNS)} FROM r JOIN m ON m.no = r.low GROUP BY s_suppkey)"""
+# trimmed means of log ratios against the sample whose upper quartile is nearest the mean
+_TRIMMED = f"""u AS (SELECT s_suppkey AS s, feature AS f, v FROM l UNPIVOT (v FOR feature IN ({", ".join(BRAND_COLUMNS)}))), t AS (SELECT s, sum(v) FILTER (v > 0) AS total, sum(v) AS whole, quantile_cont(v, 0.75) FILTER (v > 0) AS uq FROM u GROUP BY s),
+  ref AS (SELECT s, total FROM t ORDER BY abs(uq / total - (SELECT avg(uq / total) FROM t)), s LIMIT 1), x AS (SELECT u.s, u.f, u.v, t.total AS n, q.v AS rv, ref.total AS rn FROM u JOIN t USING (s), ref JOIN u q ON q.s = ref.s WHERE q.f = u.f AND u.v > 0 AND q.v > 0),
+  y AS (SELECT s, log2(v / n / (rv / rn)) AS m, 0.5 * log2(v / n * (rv / rn)) AS a, 1 / ((n - v) / n / v + (rn - rv) / rn / rv) AS w FROM x),
+  k AS (SELECT *, percent_rank() OVER (PARTITION BY s ORDER BY m) AS pm, percent_rank() OVER (PARTITION BY s ORDER BY a) AS pa FROM y),
+  e AS (SELECT t.s, t.whole, coalesce(lf, 0) AS lf FROM t LEFT JOIN (SELECT s, sum(w * m) / sum(w) AS lf FROM k WHERE pm BETWEEN 0.3 AND 0.7 AND pa BETWEEN 0.05 AND 0.95 GROUP BY s) USING (s)),
+  z AS (SELECT s_suppkey, {", ".join(f"{c} * 1e6 / (whole * pow(2, lf - (SELECT avg(lf) FROM e))) AS {c}" for c in BRAND_COLUMNS)} FROM l JOIN e ON e.s = s_suppkey)"""
+for _m in METHODS:
+    _z = f"z AS (SELECT s_suppkey, {', '.join(f'{_BY_COLUMN[_m].format(c)} AS {c}' for c in BRAND_COLUMNS)} FROM l)" if _m in _BY_COLUMN else _ROWS if _m == "quantile" else _TRIMMED
+    ORACLE[f"pipeline_{_m}"] = f"WITH {_INPUT}, {_z} SELECT s_suppkey, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in BRAND_COLUMNS)}, round(balance, 4) + 0.0 AS balance, region FROM z JOIN c USING (s_suppkey)"

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.errors import ConfigurationError
+
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that every result of the engine assumes."""
@@ -34,10 +36,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder made.
+    Only where all tasks run in the driver's own process (tests, a laptop) and none is named is a
+    temporary folder made; on a cluster a missing setting is an error.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="helixmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found

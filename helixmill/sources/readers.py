@@ -74,7 +74,7 @@ def parse_entities(lines: DataFrame, line: str = "value", order: str = "line_no"
     w = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     opened = v.startswith("^")
     named = lines.filter(~v.startswith("#") & (F.trim(v) != "")).withColumn("entity_no", F.sum(opened.cast("int")).over(w))
-    head = F.split(F.substring(v, 2, 1_000_000), "=", 2)
+    head = F.split(F.regexp_replace(v, "^.", ""), "=", 2)
     kind = F.max(F.when(opened, F.struct(F.trim(head[0]).alias("t"), F.trim(F.get(head, F.lit(1))).alias("i")))).over(Window.partitionBy(document, "entity_no"))
     attribute = v.startswith("!")
     flat = named.withColumn("_k", kind).filter(~opened).select(

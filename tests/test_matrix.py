@@ -203,3 +203,55 @@ def test_pipeline_against_hand_computation(spark):
     result = pipeline.run_checked(omic, clinical, "id")
     assert (result["status"], result["n_samples"], result["n_features"], result["completeness_percent"]) == ("success", 3, 4, 100.0)
     assert pipeline.run_checked(omic, clinical.filter("id = 'p4'"), "id")["status"] == "error"
+
+
+def test_every_configured_normalisation_changes_the_table_and_unknown_ones_are_refused(spark):
+    from helixmill.bundle import OmicsTables
+    from helixmill.config import ALLOWED
+
+    omic = spark.createDataFrame([("a", 1.0, 40.0), ("b", 3.0, 20.0), ("c", 8.0, None), ("d", 2.0, 31.0)], "k string, g double, h double")
+    clinical = omic.select("k", (F.col("g") * 2).alias("age"))
+    plain = {r["k"]: (r["g"], r["h"]) for r in pipeline.preprocess(omic, "k").collect()}
+    for method in sorted(ALLOWED["preprocessing.normalization.method"]):
+        out = pipeline.run_checked(omic, clinical, "k", normalisation=method)
+        assert out["status"] == "success" and {r["k"]: (r["g"], r["h"]) for r in out["data"].collect()} != plain, method
+    assert pipeline.run_checked(omic, clinical, "k", normalisation="nonsense")["status"] == "error"
+    with pytest.raises(PreprocessingError):
+        normalize.normalize_wide(omic, "k", "nonsense")
+    bundle = OmicsTables({"rna": omic, "lab": clinical}, "k")
+    assert bundle.scale("robust", {"lab": "odd"}).problems.keys() == {"lab"}
+    fitted = bundle.fit("minmax", {"lab": "median_centering"})
+    assert sorted(r["g"] for r in fitted.transform(bundle).tables["rna"].collect()) == [0.0, pytest.approx(1 / 7), pytest.approx(2 / 7), 1.0]
+    later = OmicsTables({"rna": omic.limit(0), "other": omic}, "k")
+    assert fitted.transform(later).tables["other"].filter("g = 8").count() == 1
+
+
+def test_the_configuration_reaches_the_pipeline(spark, tmp_path):
+    from helixmill import cli
+
+    rows = [(f"p{i:02d}", float(i), float(i % 5), None if i % 3 else 1.0) for i in range(30)] + [("p99", 9e6, 1.0, 1.0)]
+    spark.createDataFrame(rows, "patient_id string, g double, h double, sparse double").coalesce(1).write.option("header", True).csv(str(tmp_path / "omic"))
+    spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows)], "patient_id string, grp int").coalesce(1).write.option("header", True).csv(str(tmp_path / "clinical"))
+    (tmp_path / "c.yaml").write_text("preprocessing: {imputation: {method: median, threshold_missing: 0.5}, normalization: {method: minmax}, outliers: {method: zscore}}\nexport: {format: ml, target: grp, test_size: 0.3}\n")
+    assert cli.main(["--omic", str(tmp_path / "omic"), "--clinical", str(tmp_path / "clinical"), "--output", str(tmp_path / "out"), "--config", str(tmp_path / "c.yaml")]) == 0
+    out = spark.read.parquet(str(tmp_path / "out/data"))
+    assert set(out.columns) == {"patient_id", "g", "h", "grp", "split"} and out.count() == 30 and out.filter("patient_id = 'p99'").count() == 0
+    assert out.agg(F.max("g")).first()[0] == 1.0 and 4 <= out.filter("split = 'test'").count() <= 14
+    forest = pipeline.outlying(spark.createDataFrame(rows, "patient_id string, g double, h double, sparse double").drop("sparse"), "patient_id", "isolation_forest", 0.05)
+    assert "p99" in {r["patient_id"] for r in forest.collect()}
+
+
+def test_components_of_a_long_chain(spark):
+    from helixmill.operators import fuzzy
+
+    n = 300
+    chain = spark.createDataFrame([(f"x{i:04d}", f"x{i + 1:04d}") for i in range(n)] + [("y1", "y2"), ("y2", "y1"), ("z", "z")], "a string, b string")
+    got = {r["node"]: r["component"] for r in fuzzy.components(chain).collect()}
+    assert got == {f"x{i:04d}": "x0000" for i in range(n + 1)} | {"y1": "y1", "y2": "y1"}
+
+
+def test_entity_attributes_of_any_length(spark):
+    from helixmill.sources import readers
+
+    lines = spark.createDataFrame([("d", 0, "^SAMPLE = s1"), ("d", 1, "!note = " + "x" * 1_200_000)], "document string, line_no int, value string")
+    assert len(readers.parse_entities(lines).first()["values"][0]) == 1_200_000

@@ -159,7 +159,7 @@ def test_configuration(tmp_path):
     c = Config()
     assert c.get("preprocessing.imputation.k") == 5 and c.get("no.such", 1) == 1
     assert c.update("preprocessing.imputation.method", "mean").get("preprocessing.imputation.method") == "mean" and c.get("preprocessing.imputation.method") == "knn"
-    for path, value in (("preprocessing.imputation.method", "magic"), ("export.test_size", 2)):
+    for path, value in (("preprocessing.imputation.method", "magic"), ("export.test_size", 2), ("integration.scaling", "odd"), ("export.format", "xls")):
         with pytest.raises(ConfigurationError):
             c.update(path, value)
     (tmp_path / "c.yaml").write_text("preprocessing: {imputation: {k: 7}}")
