@@ -184,8 +184,11 @@ def impute_knn(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, weig
     return Fills({}, modes(df, texts)).transform(out.drop("_key", *[f"_f{i}" for i in range(len(columns))]))
 
 
-def impute_chained(df: DataFrame, key: str, columns: Sequence[str], rounds: int = 3, trees: int = 10, seed: int = 42) -> DataFrame:
-    """Chained random-forest regressions: every column with gaps is predicted from the others."""
+def impute_chained(df: DataFrame, key: str, columns: Sequence[str], rounds: int = 10, trees: int = 10, seed: int = 42, tolerance: float = 1e-3) -> DataFrame:
+    """Chained random-forest regressions: every column with gaps is predicted from the others.
+
+    It ends after ``rounds``, or when no filled cell moved by more than ``tolerance`` deviations.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -197,12 +200,18 @@ def impute_chained(df: DataFrame, key: str, columns: Sequence[str], rounds: int
     z = z.withColumns({f"_z{i}": F.coalesce((clean_number(F.col(f"`{c}`")) - mean[i]) / sd[i], F.lit(0.0)) for i, c in enumerate(columns)})
     shares = missing_shares(df, columns)
     for _ in range(rounds):
+        z = z.withColumns({f"_b{i}": F.col(f"_z{i}") for i in range(len(columns))})
         for i in sorted((i for i, c in enumerate(columns) if shares[c] > 0), key=lambda i: shares[columns[i]]):
             inputs = [f"_z{j}" for j in range(len(columns)) if j != i]
             ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(z)
             model = RandomForestRegressor(featuresCol="_x", labelCol=f"_z{i}", predictionCol="_p", numTrees=trees, seed=seed).fit(ready.filter(~F.col(f"_gap{i}")))
             z = model.transform(ready).withColumn(f"_z{i}", F.when(F.col(f"_gap{i}"), F.col("_p")).otherwise(F.col(f"_z{i}"))).drop("_x", "_p")
-        z = durable(z)
+        moved = F.greatest(*[F.abs(F.col(f"_z{i}") - F.col(f"_b{i}")) for i in range(len(columns))]) if len(columns) > 1 else F.abs(F.col("_z0") - F.col("_b0"))
+        z = durable(z.withColumn("_moved", moved).drop(*[f"_b{i}" for i in range(len(columns))]))
+        most = z.agg(F.max("_moved")).first()[0]
+        z = z.drop("_moved")
+        if most is None or most <= tolerance:
+            break
     out = z.withColumns({c: F.when(F.col(f"_gap{i}"), F.col(f"_z{i}") * sd[i] + mean[i]).otherwise(clean_number(F.col(f"`{c}`"))) for i, c in enumerate(columns)})
     return out.drop(*[f"_gap{i}" for i in range(len(columns))], *[f"_z{i}" for i in range(len(columns))])
 

@@ -151,8 +151,8 @@ def pls(df: DataFrame, key: str, columns: Sequence[str], target: str, components
     return Reduced(project(df, key, columns, mean[:-1], sd[:-1], r, "PLS"), np.array(loads).T if loads else r, np.zeros(r.shape[1]), columns), float(explained / yy) if yy else 0.0
 
 
-def ica(df: DataFrame, key: str, columns: Sequence[str], components: int, rounds: int = 30, seed: int = 42) -> Reduced:
-    """FastICA with tanh: whitening from one pass, then a pass of sums for each round."""
+def ica(df: DataFrame, key: str, columns: Sequence[str], components: int, rounds: int = 1000, seed: int = 42, tolerance: float = 1e-4) -> Reduced:
+    """FastICA with tanh: whitening from one pass, then a pass of sums for each round, until no direction turns by more than ``tolerance``."""
     columns = list(columns)
     n, mean, xx = gram(df, columns)
     values, vectors = np.linalg.eigh(xx / n)
@@ -170,7 +170,7 @@ def ica(df: DataFrame, key: str, columns: Sequence[str], components: int, rounds
         after = s[: k * k].reshape(k, k) - s[k * k :, None] * w
         u, _, v = np.linalg.svd(after)
         after = u @ v
-        done = np.abs(np.abs((after * w).sum(axis=1)) - 1).max() < 1e-6
+        done = np.abs(np.abs((after * w).sum(axis=1)) - 1).max() < tolerance
         w = after
         if done:
             break
@@ -185,11 +185,12 @@ class Factors:
     losses: list[float]
 
 
-def nmf(df: DataFrame, key: str, columns: Sequence[str], components: int, rounds: int = 20, inner: int = 20, seed: int = 42) -> Factors:
+def nmf(df: DataFrame, key: str, columns: Sequence[str], components: int, rounds: int = 1000, inner: int = 20, seed: int = 42, tolerance: float = 1e-4) -> Factors:
     """Non-negative factors of the table, shifted to be non-negative; ``losses`` falls from round to round.
 
     A row's weights follow from the parts by multiplicative updates, so no state is kept
-    between rounds but the parts; a round is one pass that adds up k by (k + p) numbers.
+    between rounds but the parts; a round is one pass that adds up k by (k + p) numbers. It ends
+    when a round lowers the loss by less than ``tolerance`` of the first loss.
     """
     columns = list(columns)
     p, k = len(columns), components
@@ -217,6 +218,8 @@ def nmf(df: DataFrame, key: str, columns: Sequence[str], components: int, rounds
         s = sums_over(df, columns, work, k * p + k * k + 1)
         wx, ww = s[: k * p].reshape(k, p), s[k * p : -1].reshape(k, k)
         losses.append(float(s[-1]))
+        if len(losses) > 1 and losses[-2] - losses[-1] < tolerance * losses[0]:
+            break
         for _ in range(inner):
             h = h * wx / np.maximum(ww @ h, 1e-12)
 

@@ -119,7 +119,15 @@ def match_by_time(spark: SparkSession, root: str) -> DataFrame:
     return align.match_by_time({"events": events, "orders": orders}, "id", "time")
 
 
-_TWO = """l AS (SELECT 'TCGA-8A-' || lpad(c_custkey::VARCHAR, 4, '0') || '-01A' AS s FROM customer WHERE c_custkey < 5000), r AS (SELECT DISTINCT 'tcga-8a-' || lpad(o_custkey::VARCHAR, 4, '0') || '-11B' AS s FROM orders WHERE o_custkey < 5000 AND o_orderstatus = 'F')"""
+def _patient_sql(key: str) -> str:
+    """``_patient`` in DuckDB's dialect."""
+    base36 = lambda n, width: " || ".join(f"('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ')[(({n}) // {36**p})::BIGINT % 36 + 1]" for p in range(width - 1, -1, -1))
+    far = f"({key} - 12960000)"
+    site = f"(CASE WHEN {far} < 0 THEN {key} // 10000 ELSE {far} // 1213056 END + {int('8A', 36)}) % 1296"
+    return f"'TCGA-' || {base36(site, 2)} || '-' || CASE WHEN {far} < 0 THEN lpad(({key} % 10000)::VARCHAR, 4, '0') ELSE {base36(f'{far} % 1213056 + 466560', 4)} END"
+
+
+_TWO = f"""l AS (SELECT {_patient_sql("c_custkey")} || '-01A' AS s FROM customer), r AS (SELECT DISTINCT lower({_patient_sql("o_custkey")}) || '-11B' AS s FROM orders WHERE o_orderstatus = 'F')"""
 
 
 def _patient(key: str) -> Column:
@@ -148,7 +156,7 @@ def match_patient_id(spark: SparkSession, root: str) -> DataFrame:
     return align.match_by({"a": left, "b": right}, {"a": "s", "b": "s"}, "patient")
 
 
-@query(f"WITH {_TWO} SELECT DISTINCT upper(l.s[1:15]) AS id FROM l JOIN r ON upper(l.s[1:15]) = upper(replace(r.s, '-11', '-01')[1:15])")
+@query(f"WITH {_TWO} SELECT DISTINCT upper(l.s[1:15]) AS id FROM l JOIN r ON upper(l.s[1:15]) = upper(regexp_replace(r.s, '-11B$', '-01B')[1:15])")
 def match_barcode(spark: SparkSession, root: str) -> DataFrame:
     left, right = _two(spark, root)
     return align.match_by({"a": left, "b": right.select(F.regexp_replace("s", "-11B$", "-01B").alias("s"))}, {"a": "s", "b": "s"}, "barcode")

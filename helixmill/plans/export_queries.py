@@ -41,7 +41,7 @@ def htseq_parse(spark: SparkSession, root: str) -> DataFrame:
     return readers.parse_counts(i.select(F.col("l_suppkey").alias("case_id"), line.alias("value")))
 
 
-@query("SELECT l_partkey AS gene_id, " + ", ".join(f"coalesce(avg(l_quantity) FILTER (l_linenumber = {i}), 0) AS c{i}" for i in range(1, 4)) + " FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL")
+@query("SELECT l_partkey AS gene_id, " + ", ".join(f"coalesce(avg(l_quantity) FILTER (l_linenumber = {i}), 0) AS c{i}" for i in a.LINES) + " FROM lineitem GROUP BY ALL")
 def counts_matrix(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "lineitem").select(F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("case_id"), F.col("l_partkey").alias("gene_id"), F.col("l_quantity").alias("count"))
     return readers.counts_matrix(rows, [f"c{i}" for i in a.LINES])
@@ -187,7 +187,7 @@ def fhir_validation(spark: SparkSession, root: str) -> DataFrame:
     return fhir.validate(fhir.entries(_patients(spark, root), "patient", 2024, "2024-01-01T00:00:00"))
 
 
-@query("SELECT vec_id AS sample, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, round(embedding[1]::DOUBLE, 6) + 0.0 AS d00 FROM embeddings")
+@query("SELECT vec_id AS sample, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0.0 AS d{i:02d}" for i in range(a.DIMS)) + " FROM embeddings")
 def ml_export(spark: SparkSession, root: str) -> DataFrame:
     features = [f"d{i:02d}" for i in range(a.DIMS)]
     rows = a.embedded_wide(spark, root).select("sample", "label", F.when(F.col("sample") % 5 == 0, "test").otherwise("train").alias("split"), *features)

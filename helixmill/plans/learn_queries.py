@@ -89,12 +89,12 @@ def pls_scores(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def ica_scores(spark: SparkSession, root: str) -> DataFrame:
-    return reduce.ica(a.embedded_wide(spark, root), "sample", COLS, 4, rounds=10).scores
+    return reduce.ica(a.embedded_wide(spark, root), "sample", COLS, 4).scores
 
 
 @query()
 def nmf_scores(spark: SparkSession, root: str) -> DataFrame:
-    return reduce.nmf(a.embedded_wide(spark, root), "sample", COLS, 4, rounds=5).scores
+    return reduce.nmf(a.embedded_wide(spark, root), "sample", COLS, 4).scores
 
 
 @query()
@@ -104,7 +104,7 @@ def isolation_forest(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def rfe_features(spark: SparkSession, root: str) -> DataFrame:
-    rows = learn.eliminate(a.embedded_wide(spark, root), COLS, "label", 8, trees=20)
+    rows = learn.eliminate(a.embedded_wide(spark, root), COLS, "label", 8)
     return spark.createDataFrame(rows, "feature string, importance double")
 
 

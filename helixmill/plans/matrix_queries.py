@@ -39,7 +39,7 @@ def unpivot_flatten(spark: SparkSession, root: str) -> DataFrame:
     return a.tidy(matrix.to_long(a.event_wide(spark, root), "sample"), ["value"])
 
 
-@query(f"WITH {a.COUNTS} SELECT feature, " + ", ".join(f"{R.format(f'avg(value) FILTER (sample = {i})')} AS s{i}" for i in range(10)) + " FROM counts WHERE sample < 10 GROUP BY ALL")
+@query(f"WITH {a.COUNTS} SELECT f.feature, s.sample, {R.format('value')} AS value FROM (SELECT DISTINCT p_brand AS feature FROM part) f CROSS JOIN (SELECT DISTINCT sample FROM counts) s LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample")
 def transpose_matrix(spark: SparkSession, root: str) -> DataFrame:
     wide = matrix.to_wide(a.counts(spark, root), "sample", "feature", "value", a.BRANDS)
     return a.tidy(matrix.transpose_long(wide, "sample", a.BRANDS), ["value"])
@@ -104,7 +104,7 @@ def impute_knn_distance(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def iterative_impute(spark: SparkSession, root: str) -> DataFrame:
-    return impute.impute_chained(a.event_wide(spark, root, gaps=True), "sample", a.EVENT_TYPES, rounds=2)
+    return impute.impute_chained(a.event_wide(spark, root, gaps=True), "sample", a.EVENT_TYPES)
 
 
 @query(f"WITH {a.SPARSE_LONG}, m AS (SELECT feature, avg((value IS NULL)::INT) AS share FROM sparse_long GROUP BY ALL) SELECT sample, feature, {R.format('value')} AS value FROM sparse_long JOIN m USING (feature) WHERE share <= 0.56")
