@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.operators import fill, orphans, value_counts, wide_table
-from helixmill.session import table
+from helixmill.session import durable, shared_dir, table
 
 #: Valid values of the profiled columns, ends included.
 RANGES = {"age": (0.0, 120.0), "tumor_size": (0.0, 300.0), "BRCA1": (0.0, None)}
 
 
+PROFILED = {"clinical": ["age", "tumor_size"], "demo_expression_data": ["BRCA1"]}
+#: Patterns of text columns in the profile of every column.
+PATTERNS = {"patient_id": "^TCGA-[0-9A-Z][0-9A-Z]-[0-9A-Z][0-9A-Z][0-9A-Z][0-9A-Z]$", "sample_id": "^TCGA-[0-9A-Z][0-9A-Z]-[0-9A-Z][0-9A-Z][0-9A-Z][0-9A-Z]-[0-9][0-9][A-Z]$"}
+
+
 def column_store(spark: SparkSession, root: str) -> DataFrame:
-    clinical = value_counts.delta(table(spark, root, "clinical"), "clinical", ["age", "tumor_size"])
-    expression = value_counts.delta(table(spark, root, "demo_expression_data"), "demo_expression_data", ["BRCA1"])
-    return value_counts.persist(value_counts.apply_deltas(None, [clinical.unionByName(expression)]))
+    """The maintained value counts of the profiled columns of the tables in ``root``.
+
+    The store of a folder of tables has its place in the shared folder; a later call only counts loads that are new or have changed.
+    """
+    sources = {t: (table(spark, root, t), columns) for t, columns in PROFILED.items()}
+    return value_counts.maintain(spark, store_path(spark, root, "profiled"), sources)
+
+
+def store_path(spark: SparkSession, root: str, name: str) -> str:
+    return f"{shared_dir(spark)}/helixmill-stores/{name}-{hashlib.sha256(root.encode()).hexdigest()[:16]}"
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -30,6 +45,36 @@ def p2_profile(spark: SparkSession, root: str) -> DataFrame:
     return compared.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in names])
 
 
+def p2_columns(spark: SparkSession, root: str) -> DataFrame:
+    """Every column of clinical and demo_expression_data per load: missing, distinct, range, violated patterns, entropy and shift."""
+    sources = {t: (table(spark, root, t), [c for c in table(spark, root, t).columns if c != "load_id"]) for t in PROFILED}
+    # read several times below
+    store = durable(value_counts.maintain(spark, store_path(spark, root, "columns"), sources))
+    made = value_counts.profile(store, RANGES, PATTERNS).alias("p").join(value_counts.shifts(store).alias("s"), ["table_name", "column_name", "load_id"], "left")
+    rounded = ["missing_share", "invalid_share", "min_value", "max_value", "top_share", "median", "iqr", "entropy_bits", "shift"]
+    names = ["table_name", "column_name", "load_id", "n_rows", "missing_share", "invalid_share", "n_distinct", "min_value", "max_value", "min_text", "max_text", "top_share", "median", "iqr", "entropy_bits", "shift"]
+    return made.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c in rounded else F.col(c) for c in names])
+
+
+def p2_increments(spark: SparkSession, root: str) -> DataFrame:
+    """The store grown load by load beside one made at once: (table_name, column_name, n_rows, n_values, n_different).
+
+    The tables arrive in five steps: the first half of the loads, each load of the rest in two halves, one load
+    withdrawn, and that load again; so counts are added, taken back and mended.
+    """
+    path = f"{shared_dir(spark)}/helixmill-stores/increments-{uuid.uuid4().hex}"
+    tables = {t: table(spark, root, t).select("row_id", "load_id", *columns) for t, columns in PROFILED.items()}
+    loads = sorted(r[0] for r in tables["clinical"].select("load_id").filter("load_id IS NOT NULL").distinct().collect())
+    half, last = loads[len(loads) // 2] if loads else 0, loads[-1] if loads else 0
+    steps = [f"load_id < {half}", f"load_id < {half} OR load_id < {last} AND row_id % 2 = 0", f"load_id < {last}", f"load_id <> {half} OR load_id IS NULL", "true"]
+    for step in steps:
+        grown = value_counts.maintain(spark, path, {t: (df.filter(step), PROFILED[t]) for t, df in tables.items()})
+    made = value_counts.apply_deltas(None, [value_counts.delta(df, t, PROFILED[t]) for t, df in tables.items()])
+    signed = grown.withColumn("grown", F.col("cnt")).withColumn("made", F.lit(0)).unionByName(made.withColumn("grown", F.lit(0)).withColumn("made", F.col("cnt")))
+    both = signed.groupBy(*value_counts.KEYS, "value", "text").agg(F.sum("grown").alias("grown"), F.sum("made").alias("made"))
+    return both.groupBy("table_name", "column_name").agg(F.sum("grown").alias("n_rows"), F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("grown") != F.col("made")).alias("n_different"))
+
+
 def expression_spec(spark: SparkSession, root: str) -> wide_table.WideSpec:
     genes = wide_table.attribute_names(table(spark, root, "gene_mapping"), "ensembl")
     return wide_table.WideSpec("sample_id", "gene_id", "expression_value", genes, order=("measured_at", "loaded_at"))
@@ -93,7 +138,7 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return orphans.orphan_report(references(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p3_found, p3_wide, p3_signatures, p4_found, p4_filled_clinical, p4_filled_expression, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p2_increments, p3_found, p3_wide, p3_signatures, p4_found, p4_filled_clinical, p4_filled_expression, p5_found, p5_report)}
 
 _KEY = "upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 _SET = "{0} IS NOT NULL AND regexp_matches({0}, '[^\\s\\p{{Z}}]')"
@@ -127,6 +172,30 @@ d AS (SELECT j.*, coalesce(abs(missing_share - a) > 0.15, false) OR coalesce(abs
     OR coalesce(abs(median) > abs(d) * 1.5 OR abs(median) * 1.5 < abs(d) OR sign(median) * sign(d) < 0, false) OR coalesce(abs(iqr) > abs(e) * 2.0 OR abs(iqr) * 2.0 < abs(e), false) AS differs
   FROM j JOIN u USING (table_name, column_name))"""
 
+_COLUMNS = {  # type by column: number or text
+    "clinical": {"row_id": "n", "patient_id": "t", "sample_id": "t", "age": "n", "gender": "t", "tumor_stage": "t", "tumor_grade": "t", "tumor_size": "n", "lymph_nodes": "n", "survival_time": "n", "vital_status": "t", "recorded_at": "d", "loaded_at": "d", "retracted_at": "d"},
+    "demo_expression_data": {"row_id": "n", "patient_id": "t", "TP53": "n", "BRCA1": "n", "EGFR": "n", "KRAS": "n", "PTEN": "n", "loaded_at": "d"},
+}
+
+
+def _column_sql(t: str, c: str, kind: str) -> str:
+    low, high = RANGES.get(c, (None, None))
+    inside = " AND ".join([f"v >= {low}"] * (low is not None) + [f"v <= {high}"] * (high is not None)) or "true"
+    number = f'CASE WHEN isnan("{c}"::DOUBLE) THEN NULL ELSE "{c}"::DOUBLE END' if kind == "n" else "NULL::DOUBLE"
+    # a timestamp as the engine writes it: without zeros at the end of the fraction
+    stamp = f"regexp_replace(regexp_replace(strftime(\"{c}\", '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '[.]$', '')" if kind == "d" else f'"{c}"'
+    text = "NULL::VARCHAR" if kind == "n" else stamp
+    good = f"regexp_matches(x, '{PATTERNS[c]}')" if c in PATTERNS else inside if kind == "n" else "true"
+    return f"SELECT '{t}' AS table_name, '{c}' AS column_name, load_id, v, x, coalesce({good}, true) AS ok FROM (SELECT load_id, {number} AS v, {text} AS x FROM {t})"
+
+
+_EVERY = f"""a AS ({" UNION ALL ".join(_column_sql(t, c, k) for t, cs in _COLUMNS.items() for c, k in cs.items())}),
+  k AS (SELECT table_name, column_name, load_id, coalesce(v::VARCHAR, x) AS y, count(*) AS n FROM a WHERE v IS NOT NULL OR x IS NOT NULL GROUP BY ALL),
+  g AS (SELECT table_name, column_name, y, sum(n) AS m FROM k GROUP BY ALL), gt AS (SELECT table_name, column_name, sum(n) AS mm FROM k GROUP BY ALL), kt AS (SELECT table_name, column_name, load_id, sum(n) AS nn, max(n) AS n_top, sum(n * log2(n)) AS clog FROM k GROUP BY ALL),
+  h AS (SELECT table_name, column_name, load_id, (sum(abs(n / nn - m / mm)) + 1 - sum(m / mm)) / 2 AS shift FROM k JOIN g USING (table_name, column_name, y) JOIN gt USING (table_name, column_name) JOIN kt USING (table_name, column_name, load_id) GROUP BY ALL),
+  s AS (SELECT table_name, column_name, load_id, count(*) AS n_rows, count(*) FILTER (v IS NULL AND x IS NULL) / count(*) AS missing_share, count(*) FILTER ((v IS NOT NULL OR x IS NOT NULL) AND NOT ok) / count(*) AS invalid_share,
+    count(DISTINCT coalesce(v::VARCHAR, x)) AS n_distinct, min(v) AS min_value, max(v) AS max_value, min(x) AS min_text, max(x) AS max_text, quantile_cont(v, 0.5) FILTER (ok) AS median, quantile_cont(v, 0.75) FILTER (ok) - quantile_cont(v, 0.25) FILTER (ok) AS iqr FROM a GROUP BY ALL)"""
+
 _STAGE = "regexp_replace(strip_accents(lower(stage)), '[^a-z0-9Ⅰ-Ⅳⅰ-ⅳ]', '', 'g')"
 _STAGE_OK = f"regexp_matches({_STAGE}, '^(ajcc|uicc|figo|tnm)?([pc]?(stage|stadium|stade|estadio|stadio|stad|stg|st))?(iv|i{{1,3}}|[1-4]|one|two|three|four|[Ⅰ-Ⅳⅰ-ⅳ])([abc][0-9]?)?$')"
 
@@ -137,6 +206,10 @@ ORACLE = {
     "p2_found": f"WITH {_PROFILE} SELECT table_name, column_name, load_id FROM d WHERE differs",
     "p2_profile": f"""WITH {_PROFILE} SELECT table_name, column_name, load_id, n_rows, round(missing_share, 6) AS missing_share, round(invalid_share, 6) AS invalid_share, n_distinct,
       round(min_value, 6) AS min_value, round(max_value, 6) AS max_value, round(top_share, 6) AS top_share, round(median, 6) AS median, round(iqr, 6) AS iqr, round(entropy_bits, 6) AS entropy_bits, differs FROM d""",
+    "p2_columns": f"""WITH {_EVERY} SELECT table_name, column_name, load_id, n_rows, round(missing_share, 6) + 0.0 AS missing_share, round(invalid_share, 6) + 0.0 AS invalid_share, n_distinct, round(min_value, 6) + 0.0 AS min_value,
+      round(max_value, 6) + 0.0 AS max_value, min_text, max_text, round(coalesce(n_top, 0) / n_rows, 6) + 0.0 AS top_share, round(median, 6) + 0.0 AS median, round(iqr, 6) + 0.0 AS iqr, round(log2(nn) - clog / nn, 6) + 0.0 AS entropy_bits, round(shift, 6) + 0.0 AS shift
+      FROM s LEFT JOIN kt USING (table_name, column_name, load_id) LEFT JOIN h USING (table_name, column_name, load_id)""",
+    "p2_increments": f"""WITH {_PROFILE} SELECT table_name, column_name, sum(n)::BIGINT AS n_rows, count(*) AS n_values, 0::BIGINT AS n_different FROM (SELECT table_name, column_name, load_id, v, count(*) AS n FROM v GROUP BY ALL) GROUP BY ALL""",
     "p3_found": f"""SELECT r.sample_id, m.ensembl AS gene_id FROM (SELECT s, g FROM ({_CELLS}) GROUP BY s, g HAVING max(v) - min(v) > 0.001) x
       JOIN sample_registry r ON {_KEY.format('r.sample_id')} = x.s JOIN gene_mapping m ON upper(m.ensembl) = x.g""",
     "p4_found": f"""SELECT 'demo_clinical_data' AS table_name, row_id, 'age' AS column_name FROM demo_clinical_data WHERE age IS NULL OR isnan(age) OR age <= 0 OR age > 120

@@ -57,12 +57,53 @@ def test_ranks_against_sorting(spark):
     assert got == {-2.0: (0, 1), 0.0: (1, 1), 1.0: (2, 1), 3.0: (3, 2), 100.0: (5, 1)}
 
 
-def test_deltas_add_and_take_away(spark, tmp_path):
-    base = vc.persist(counts(spark, [(1, 1.0), (1, 2.0), (2, None)]), str(tmp_path / "store"))
+def stored(df):
+    return sorted((r["column_name"], str(r["load_id"]), str(r["value"]), str(r["text"]), r["cnt"]) for r in df.collect())
+
+
+def test_deltas_add_and_take_away(spark):
+    base = counts(spark, [(1, 1.0), (1, 2.0), (2, None)])
     after = vc.apply_deltas(base, [counts(spark, [(1, 2.0)], sign=-1), counts(spark, [(1, 1.0), (3, 9.0)])])
-    rebuilt = counts(spark, [(1, 1.0), (1, 1.0), (2, None), (3, 9.0)])
-    key = lambda df: sorted((r["load_id"], str(r["value"]), r["cnt"]) for r in df.collect())
-    assert key(after) == key(rebuilt)
+    assert stored(after) == stored(counts(spark, [(1, 1.0), (1, 1.0), (2, None), (3, 9.0)]))
+
+
+def test_a_store_follows_its_tables(spark, tmp_path):
+    """New, changed and withdrawn loads; what did not change is not counted again."""
+    path = str(tmp_path / "store")
+    states = [
+        [(1, 1.0, "a"), (1, 2.0, None), (None, 7.0, "n")],
+        [(1, 1.0, "a"), (1, 2.0, None), (None, 7.0, "n"), (2, float("nan"), "b"), (2, None, "b")],
+        [(1, 1.0, "a"), (1, 3.0, "c"), (2, float("nan"), "b"), (2, None, "b")],
+        [(1, 1.0, "a"), (1, 3.0, "c"), (2, float("nan"), "b"), (2, None, "b")],
+        [],
+        [(1, 1.0, "a")],
+    ]
+    versions = []
+    for rows in states:
+        df = spark.createDataFrame(rows, SCHEMA)
+        kept = vc.maintain(spark, path, {"t": (df, ["x", "extra"])})
+        assert stored(kept) == stored(vc.delta(df, "t", ["x", "extra"]))
+        versions.append(spark.read.parquet(f"{path}/ledger").select("version").distinct().count())
+    assert versions == [1, 2, 3, 3, 4, 5]
+    assert spark.read.parquet(f"{path}/deltas").filter("cnt < 0").count() > 0
+
+
+def test_an_update_that_was_broken_off_leaves_no_trace(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, 1.0, "a")], SCHEMA)
+    vc.maintain(spark, path, {"t": (df, ["x"])})
+    spark.read.parquet(f"{path}/deltas").selectExpr("table_name", "column_name", "load_id", "value", "text", "cnt", "'unfinished' AS version").write.mode("append").parquet(f"{path}/deltas")
+    assert stored(vc.maintain(spark, path, {"t": (df, ["x"])})) == stored(vc.delta(df, "t", ["x"]))
+
+
+def test_text_columns_patterns_and_shifts(spark):
+    rows = [(1, 0.0, "A1"), (1, 0.0, "b"), (1, 0.0, None), (2, 0.0, "A1"), (2, 0.0, "A1")]
+    store = vc.delta(spark.createDataFrame(rows, SCHEMA), "t", ["extra"])
+    got = {r["load_id"]: r for r in vc.profile(store, {}, {"extra": "^[A-Z][0-9]$"}).collect()}
+    assert (got[1]["invalid_share"], got[1]["missing_share"], got[1]["n_distinct"], got[1]["min_text"], got[1]["max_text"]) == (pytest.approx(1 / 3), pytest.approx(1 / 3), 2, "A1", "b")
+    assert got[2]["invalid_share"] == 0 and got[2]["entropy_bits"] == 0 and got[2]["median"] is None
+    # all loads: A1 3 of 4; load 1: 1 of 2; load 2: 2 of 2
+    assert {r["load_id"]: r["shift"] for r in vc.shifts(store).collect()} == {1: pytest.approx(0.25), 2: pytest.approx(0.25)}
 
 
 def test_a_load_that_differs(spark):
