@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,15 +99,46 @@ def p3_signatures(spark: SparkSession, root: str) -> DataFrame:
     return wide_table.signature_report(wide_table.entities(wide_table.cells(table(spark, root, "gene_expression"), expression_spec(spark, root))))
 
 
+USABLE_AGE = fill.usable_number(F.col("age"), 0.0, 120.0, low_open=True)
+USABLE_STAGE = fill.stage_of(F.col("stage"))
+USABLE_TP53 = fill.usable_number(F.col("TP53"), 0.0)
+
+
+def fill_stage(rows: DataFrame) -> DataFrame:
+    return fill.fill_category(rows, "stage", USABLE_STAGE, fill.STAGES, ["site", "load_id", "treatment_response"], "patient_id", numbers=["survival_months", "age"])
+
+
+def fill_age(rows: DataFrame) -> DataFrame:
+    return fill.fill_number(rows, "age", USABLE_AGE, ["site", "stage", "load_id"], "patient_id", low=0.5, high=120.0)
+
+
+def fill_tp53(rows: DataFrame, clinical: DataFrame) -> DataFrame:
+    """The site and stage of a row are those of its patient in ``clinical``."""
+    grouped = fill.with_groups_of(rows, clinical.select("patient_id", "site", USABLE_STAGE.alias("stage")), "patient_id", ["site", "stage"])
+    return fill.fill_number(grouped, "TP53", USABLE_TP53, ["_site", "_stage", "load_id"], "patient_id", log=True, low=0.0).drop("_site", "_stage")
+
+
 def filled_clinical(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "demo_clinical_data")
-    staged = fill.fill_category(rows, "stage", fill.stage_of(F.col("stage")), fill.STAGES, ["site", "load_id"], "patient_id")
-    return fill.fill_number(staged, "age", fill.usable_number(F.col("age"), 0.0, 120.0, low_open=True), ["site", "stage", "load_id"], "patient_id", low=0.5, high=120.0)
+    return fill_age(fill_stage(table(spark, root, "demo_clinical_data")))
 
 
 def filled_expression(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "demo_expression_data")
-    return fill.fill_number(rows, "TP53", fill.usable_number(F.col("TP53"), 0.0), ["load_id"], "patient_id", log=True, low=0.0)
+    return fill_tp53(table(spark, root, "demo_expression_data"), table(spark, root, "demo_clinical_data"))
+
+
+def hold_outs(spark: SparkSession, root: str) -> DataFrame:
+    """Errors of filling every fifth usable value from the others, beside those of the mean or most frequent class."""
+    clinical, expression, hidden = table(spark, root, "demo_clinical_data"), table(spark, root, "demo_expression_data"), F.col("row_id") % 5 == 0
+    parts = {
+        "demo_clinical_data": [fill.hold_out(clinical, "age", USABLE_AGE, hidden, lambda df: fill_age(fill_stage(df))), fill.hold_out(clinical, "stage", USABLE_STAGE, hidden, fill_stage)],
+        "demo_expression_data": [fill.hold_out(expression, "TP53", USABLE_TP53, hidden, lambda df: fill_tp53(df, clinical), log=True)],
+    }
+    return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("table_name"), "*") for t, ps in parts.items() for p in ps])
+
+
+def p4_holdout(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, column_name, n_hidden, baseline_error, better): whether filling beats the baseline on hidden values."""
+    return hold_outs(spark, root).select("table_name", "column_name", "n_hidden", (F.round("baseline_error", 6) + F.lit(0.0)).alias("baseline_error"), (F.col("error") < F.col("baseline_error")).alias("better"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -138,7 +170,7 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return orphans.orphan_report(references(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p2_increments, p3_found, p3_wide, p3_signatures, p4_found, p4_filled_clinical, p4_filled_expression, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p2_increments, p3_found, p3_wide, p3_signatures, p4_found, p4_filled_clinical, p4_filled_expression, p4_holdout, p5_found, p5_report)}
 
 _KEY = "upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 _SET = "{0} IS NOT NULL AND regexp_matches({0}, '[^\\s\\p{{Z}}]')"
@@ -199,6 +231,8 @@ _EVERY = f"""a AS ({" UNION ALL ".join(_column_sql(t, c, k) for t, cs in _COLUMN
 _STAGE = "regexp_replace(strip_accents(lower(stage)), '[^a-z0-9Ⅰ-Ⅳⅰ-ⅳ]', '', 'g')"
 _STAGE_OK = f"regexp_matches({_STAGE}, '^(ajcc|uicc|figo|tnm)?([pc]?(stage|stadium|stade|estadio|stadio|stad|stg|st))?(iv|i{{1,3}}|[1-4]|one|two|three|four|[Ⅰ-Ⅳⅰ-ⅳ])([abc][0-9]?)?$')"
 
+_STAGE_CORE = f"regexp_extract({_STAGE}, '^(ajcc|uicc|figo|tnm)?([pc]?(stage|stadium|stade|estadio|stadio|stad|stg|st))?(iv|i{{1,3}}|[1-4]|one|two|three|four|[Ⅰ-Ⅳⅰ-ⅳ])([abc][0-9]?)?$', 4)"
+
 _CELLS = f"""SELECT {_KEY.format('sample_id')} AS s, upper(regexp_replace(split_part(trim(gene_id), '.', 1), '[^A-Za-z0-9]+', '', 'g')) AS g, expression_value AS v
   FROM gene_expression WHERE expression_value >= 0 AND NOT isnan(expression_value)"""
 
@@ -215,6 +249,14 @@ ORACLE = {
     "p4_found": f"""SELECT 'demo_clinical_data' AS table_name, row_id, 'age' AS column_name FROM demo_clinical_data WHERE age IS NULL OR isnan(age) OR age <= 0 OR age > 120
       UNION ALL SELECT 'demo_clinical_data', row_id, 'stage' FROM demo_clinical_data WHERE stage IS NULL OR NOT {_STAGE_OK}
       UNION ALL SELECT 'demo_expression_data', row_id, 'TP53' FROM demo_expression_data WHERE "TP53" IS NULL OR isnan("TP53") OR "TP53" < 0""",
+    "p4_holdout": f"""WITH u AS (SELECT 'demo_clinical_data' AS table_name, 'age' AS column_name, row_id, age AS v FROM demo_clinical_data WHERE age > 0 AND age <= 120 AND NOT isnan(age)
+        UNION ALL SELECT 'demo_expression_data', 'TP53', row_id, ln(1 + "TP53") FROM demo_expression_data WHERE "TP53" >= 0 AND NOT isnan("TP53")),
+      m AS (SELECT table_name, column_name, avg(v) AS mean FROM u WHERE row_id % 5 <> 0 GROUP BY ALL),
+      s AS (SELECT row_id, {_STAGE_CORE} AS c FROM demo_clinical_data WHERE {_STAGE_OK}),
+      t AS (SELECT row_id, CASE WHEN c IN ('iv', '4', 'four', 'Ⅳ', 'ⅳ') THEN 'IV' WHEN c IN ('iii', '3', 'three', 'Ⅲ', 'ⅲ') THEN 'III' WHEN c IN ('ii', '2', 'two', 'Ⅱ', 'ⅱ') THEN 'II' ELSE 'I' END AS c FROM s),
+      f AS (SELECT c FROM t WHERE row_id % 5 <> 0 GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)
+      SELECT table_name, column_name, count(*) AS n_hidden, round(sqrt(avg((v - mean) * (v - mean))), 6) + 0.0 AS baseline_error, true AS better FROM u JOIN m USING (table_name, column_name) WHERE row_id % 5 = 0 GROUP BY ALL
+      UNION ALL SELECT 'demo_clinical_data', 'stage', count(*), round(avg((t.c <> f.c)::INT), 6) + 0.0, true FROM t, f WHERE row_id % 5 = 0""",
     "p5_found": f"SELECT table_name, row_id FROM ({_ORPHANS})",
     "p5_report": f"""WITH o AS ({_ORPHANS}), r AS (SELECT 'clinical' AS table_name, 'sample_id' AS column_name, loaded_at FROM clinical WHERE {_SET.format('sample_id')}
       UNION ALL SELECT 'demo_clinical_data', 'patient_id', loaded_at FROM demo_clinical_data WHERE {_SET.format('patient_id')}

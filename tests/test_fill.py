@@ -65,3 +65,50 @@ def test_held_out_accuracy(spark):
     assert error < 0.5 * naive
     stages = {r["row_id"]: r["stage"] for r in fill.fill_category(df, "stage", fill.stage_of(F.col("stage")), fill.STAGES, ["site", "load_id"], "patient").filter("stage_filled").collect()}
     assert sum(stages[i] == s for i, (_, s) in truth.items()) > 0.6 * len(truth)
+
+
+def test_fits_on_the_cluster_and_in_one_process_agree(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        s, load = rng.choice(["a", "b", "c", None]), rng.randint(1, 3)
+        stage = rng.choices(["I", "II", "III", "IV"], [1, 2, 3 if s == "a" else 1, load])[0]
+        rows.append((f"p{i // 2}", s, load, 50.0 + 5 * load + (10 if s == "a" else 0) + rng.gauss(0, 2) if i % 6 else None, stage if i % 7 else None))
+    df = frame(spark, rows)
+    ages = [{r["row_id"]: r["age"] for r in fill_age(df, most_cells=m).collect()} for m in (0, 10_000)]
+    assert ages[0] == {i: pytest.approx(a, abs=1e-9) for i, a in ages[1].items()}
+    stages = [{r["row_id"]: (r["stage"], r["stage_share"]) for r in fill.fill_category(df, "stage", fill.stage_of(F.col("stage")), fill.STAGES, ["site", "load_id"], "patient", numbers=["age"], most_cells=m).collect()} for m in (0, 10_000)]
+    assert {i: s for i, (s, _) in stages[0].items()} == {i: s for i, (s, _) in stages[1].items()}
+    assert [p for _, (_, p) in sorted(stages[0].items())] == pytest.approx([p for _, (_, p) in sorted(stages[1].items())], abs=1e-9)
+
+
+def test_the_model_of_classes_is_a_ridge_logit_fit(spark):
+    """After many sweeps the gradient of the penalised likelihood is zero for every level."""
+    import numpy as np
+
+    cells = [("a", "x", 8, 1, 3), ("a", "y", 2, 2, 2), ("b", "x", 1, 9, 4), ("b", None, 0, 3, 1), ("c", "y", 5, 5, 0)]
+    df = spark.createDataFrame(cells, "_f0 string, _f1 string, c0 long, c1 long, c2 long")
+    start = np.log(np.array([16, 20, 10]) / 46)
+    u = [{r["_level"]: np.array(r["_u"]) for r in e.collect()} for e in fill._class_effects(df, ["_f0", "_f1"], 3, start, 60, 100).values()]
+    for f in (0, 1):
+        for level, effect in u[f].items():
+            g = -fill.RIDGE * effect
+            for row in cells:
+                if row[f] == level:
+                    eta = start + u[0].get(row[0], 0) + u[1].get(row[1], 0)
+                    p = np.exp(eta) / np.exp(eta).sum()
+                    g = g + np.array(row[2:]) - sum(row[2:]) * p
+            assert np.abs(g).max() < 1e-6
+
+
+@pytest.mark.parametrize("text", ["", "--", "ND", "n/a", "0000", "xxx", "Unknown", None, " "])
+def test_stand_ins_are_no_subject(spark, text):
+    df = spark.createDataFrame([(text,), ("TCGA-8E-h2k9",)], "p string").select(fill.subject_key("p").alias("k")).collect()
+    assert [r["k"] for r in df] == [None, "TCGA8EH2K9"]
+
+
+def test_stand_ins_share_no_effect(spark):
+    rows = [("ND", "a", 1, 90.0, "IV")] * 8 + [(f"p{i}", "a", 1, 50.0, "I") for i in range(40)] + [("ND", "a", 1, None, None), ("TCGA", "a", 1, None, None)]
+    df = frame(spark, rows)
+    out = {r["row_id"]: r["age"] for r in fill_age(df).collect()}
+    assert out[48] == pytest.approx(out[49]) and out[48] < 60
