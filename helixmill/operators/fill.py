@@ -141,10 +141,10 @@ def _number_effects(cell: DataFrame, groups: Sequence[str], sweeps: int, most_ce
 
 
 def fill_number(
-    rows: DataFrame, column: str, usable: Column, factors: Sequence[str], subject: str | None, log: bool = False,
+    rows: DataFrame, column: str, usable: Column, factors: Sequence[str], subject: str | Column | None, log: bool = False,
     low: float | None = None, high: float | None = None, sweeps: int = SWEEPS, most_cells: int = MOST_CELLS,
 ) -> DataFrame:
-    """``rows`` with ``column`` filled and ``{column}_filled`` added."""
+    """``rows`` with ``column`` filled and ``{column}_filled`` added. ``subject`` is a column of ids, or an expression of ``subject_key``s."""
     mark = f"{column}_filled"
     y = F.log1p(usable) if log else usable
     base = rows.withColumn("_v", usable).withColumn("_y", y)
@@ -169,11 +169,12 @@ def fill_number(
         predicted = fitted(gaps)
         if subject is not None:
             r = F.col("_y") - F.col("_fit")
-            left = fitted(seen).select(subject_key(subject).alias("_subject"), r.alias("r")).filter("_subject IS NOT NULL")
+            key = subject if isinstance(subject, Column) else subject_key(subject)
+            left = fitted(seen).select(key.alias("_subject"), r.alias("r")).filter("_subject IS NOT NULL")
             own = durable(left.groupBy("_subject").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss")))
             v = _variances(*own.agg(*_level_sums(own), F.coalesce(F.sum("ss"), F.lit(0.0))).first())
             own = own.select("_subject", v.effect(F.col("n"), F.col("s")).alias("_us"))
-            predicted = predicted.withColumn("_key", subject_key(subject)).join(own, F.col("_key") == F.col("_subject"), "left").withColumn("_fit", F.col("_fit") + F.coalesce("_us", F.lit(0.0))).drop("_key", "_subject", "_us")
+            predicted = predicted.withColumn("_at", key).join(own, F.col("_at") == F.col("_subject"), "left").withColumn("_fit", F.col("_fit") + F.coalesce("_us", F.lit(0.0))).drop("_at", "_subject", "_us")
         p = F.expm1("_fit") if log else F.col("_fit")
         if low is not None:
             p = F.greatest(p, F.lit(low))
@@ -251,7 +252,7 @@ def _parts_of(rows: DataFrame, numbers: Sequence[str], parts: int) -> dict[str,
 
 
 def fill_category(
-    rows: DataFrame, column: str, usable: Column, classes: Sequence[str], factors: Sequence[str], subject: str | None,
+    rows: DataFrame, column: str, usable: Column, classes: Sequence[str], factors: Sequence[str], subject: str | Column | None,
     numbers: Sequence[str] = (), sweeps: int = SWEEPS, most_cells: int = MOST_CELLS,
 ) -> DataFrame:
     """``rows`` with ``column`` in canonical spelling, filled, and ``{column}_filled`` and ``{column}_share`` added.
@@ -287,14 +288,17 @@ def fill_category(
 
         predicted = shares_of(gaps)
         if subject is not None:
-            known = shares_of(seen.withColumn("_subject", subject_key(subject)).filter("_subject IS NOT NULL"))
-            own = durable(known.groupBy("_subject").agg(F.array(*[t.cast("double") for t in tally]).alias("_own"), F.array(*[F.avg(F.col("_p")[i]) for i in range(k)]).alias("_prior")))
+            key = subject if isinstance(subject, Column) else subject_key(subject)
+            own = seen.select(key.alias("_subject"), "_v").filter("_subject IS NOT NULL").groupBy("_subject").agg(*tally)
+            own = durable(own.select("_subject", F.array(*[F.col(f"c{i}").cast("double") for i in range(k)]).alias("_own")))
             size = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x)
-            # how well each row of a subject is foretold by its others, for every weight
-            told = [F.sum(F.aggregate(F.zip_with("_own", "_prior", lambda n, p: F.when(n > 0, n * F.log((n - 1 + F.lit(a) * p) / (size - 1 + F.lit(a)))).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)) for a in SUBJECT_PRIORS]
+            # how well each row of a subject is foretold by its others beside the general shares, for every weight
+            general = np.exp(start) / np.exp(start).sum()
+            n = [F.col("_own")[i] for i in range(k)]
+            told = [F.sum(sum(F.when(n[i] > 0, n[i] * F.log((n[i] - 1 + a * float(general[i])) / (sum(n) - 1 + a))).otherwise(0.0) for i in range(k))) for a in SUBJECT_PRIORS]
             scores = own.filter(size > 1).agg(*told).first()
             weight = max(zip(scores, SUBJECT_PRIORS))[1] if scores[0] is not None else 1.0
-            predicted = predicted.withColumn("_key", subject_key(subject)).join(own.select("_subject", "_own"), F.col("_key") == F.col("_subject"), "left").drop("_key", "_subject")
+            predicted = predicted.withColumn("_at", key).join(own, F.col("_at") == F.col("_subject"), "left").drop("_at", "_subject")
             mixed = F.zip_with("_own", "_p", lambda n, p: (n + F.lit(weight) * p) / (size + F.lit(weight)))
             predicted = predicted.withColumn("_p", F.when(F.col("_own").isNull(), F.col("_p")).otherwise(mixed)).drop("_own")
         best = F.array_position("_p", F.array_max("_p")).cast("int")
@@ -304,12 +308,14 @@ def fill_category(
     return out.withColumn(column, F.col("_v")).drop("_v")
 
 
-def with_groups_of(rows: DataFrame, other: DataFrame, subject: str, columns: Sequence[str]) -> DataFrame:
-    """``rows`` with ``_{column}`` of the subject's most frequent value in ``other``, the smallest of equals, NULL where there is none."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])).alias("p")
-    counts = other.select(subject_key(subject).alias("_subject"), pairs).filter("_subject IS NOT NULL AND p.v IS NOT NULL").groupBy("_subject", "p.i", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("_subject").agg(*[F.min(F.when(F.col("i") == i, F.struct((-F.col("n")).alias("n"), "v")))["v"].alias(f"_{c}") for i, c in enumerate(columns)])
-    return rows.withColumn("_key", subject_key(subject)).join(best, F.col("_key") == F.col("_subject"), "left").drop("_key", "_subject")
+def with_groups_of(rows: DataFrame, other: DataFrame, key: Column, subject: str, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_{column}`` of the subject's most frequent value in ``other``, the smallest of equals, NULL where there is none.
+
+    A subject's distinct values are counted in one pass; ``key`` is the subject's key in ``rows``.
+    """
+    named = other.select(subject_key(subject).alias("_subject"), *[F.col(f"`{c}`").cast("string").alias(f"_{c}") for c in columns]).filter("_subject IS NOT NULL")
+    best = named.groupBy("_subject").agg(*[F.mode(f"_{c}", True).alias(f"_{c}") for c in columns])
+    return rows.join(best, key == F.col("_subject"), "left").drop("_subject")
 
 
 def filled_cells(tables: Sequence[tuple[str, DataFrame, Sequence[str]]], row_id: str = "row_id") -> DataFrame:

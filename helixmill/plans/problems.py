@@ -104,22 +104,33 @@ USABLE_STAGE = fill.stage_of(F.col("stage"))
 USABLE_TP53 = fill.usable_number(F.col("TP53"), 0.0)
 
 
+def prepared(rows: DataFrame) -> DataFrame:
+    """``rows`` with the patient's key and the usable stage, worked out once for all passes."""
+    return durable(rows.withColumn("_patient", fill.subject_key("patient_id")).withColumn("_stage", USABLE_STAGE))
+
+
 def fill_stage(rows: DataFrame) -> DataFrame:
-    return fill.fill_category(rows, "stage", USABLE_STAGE, fill.STAGES, ["site", "load_id", "treatment_response"], "patient_id", numbers=["survival_months", "age"])
+    return fill.fill_category(rows, "stage", F.col("_stage"), fill.STAGES, ["site", "load_id", "treatment_response"], F.col("_patient"), numbers=["survival_months", "age"])
 
 
 def fill_age(rows: DataFrame) -> DataFrame:
-    return fill.fill_number(rows, "age", USABLE_AGE, ["site", "stage", "load_id"], "patient_id", low=0.5, high=120.0)
+    return fill.fill_number(rows, "age", USABLE_AGE, ["site", "stage", "load_id"], F.col("_patient"), low=0.5, high=120.0)
+
+
+def fill_both(rows: DataFrame) -> DataFrame:
+    """Ages are filled with the filled stages among their groups, so these are written before."""
+    return fill_age(durable(fill_stage(prepared(rows)))).drop("_patient", "_stage")
 
 
 def fill_tp53(rows: DataFrame, clinical: DataFrame) -> DataFrame:
     """The site and stage of a row are those of its patient in ``clinical``."""
-    grouped = fill.with_groups_of(rows, clinical.select("patient_id", "site", USABLE_STAGE.alias("stage")), "patient_id", ["site", "stage"])
-    return fill.fill_number(grouped, "TP53", USABLE_TP53, ["_site", "_stage", "load_id"], "patient_id", log=True, low=0.0).drop("_site", "_stage")
+    keyed = rows.withColumn("_patient", fill.subject_key("patient_id"))
+    grouped = durable(fill.with_groups_of(keyed, clinical.select("patient_id", "site", USABLE_STAGE.alias("stage")), F.col("_patient"), "patient_id", ["site", "stage"]))
+    return fill.fill_number(grouped, "TP53", USABLE_TP53, ["_site", "_stage", "load_id"], F.col("_patient"), log=True, low=0.0).drop("_patient", "_site", "_stage")
 
 
 def filled_clinical(spark: SparkSession, root: str) -> DataFrame:
-    return fill_age(fill_stage(table(spark, root, "demo_clinical_data")))
+    return fill_both(table(spark, root, "demo_clinical_data"))
 
 
 def filled_expression(spark: SparkSession, root: str) -> DataFrame:
@@ -130,7 +141,7 @@ def hold_outs(spark: SparkSession, root: str) -> DataFrame:
     """Errors of filling every fifth usable value from the others, beside those of the mean or most frequent class."""
     clinical, expression, hidden = table(spark, root, "demo_clinical_data"), table(spark, root, "demo_expression_data"), F.col("row_id") % 5 == 0
     parts = {
-        "demo_clinical_data": [fill.hold_out(clinical, "age", USABLE_AGE, hidden, lambda df: fill_age(fill_stage(df))), fill.hold_out(clinical, "stage", USABLE_STAGE, hidden, fill_stage)],
+        "demo_clinical_data": [fill.hold_out(clinical, "age", USABLE_AGE, hidden, fill_both), fill.hold_out(clinical, "stage", USABLE_STAGE, hidden, lambda df: fill_stage(prepared(df)))],
         "demo_expression_data": [fill.hold_out(expression, "TP53", USABLE_TP53, hidden, lambda df: fill_tp53(df, clinical), log=True)],
     }
     return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("table_name"), "*") for t, ps in parts.items() for p in ps])
