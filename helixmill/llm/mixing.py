@@ -14,7 +14,8 @@ have no documents the shares of the rest are those among themselves. Both are na
 Defined cases: sources are compared by letters and digits only; documents with NULL or
 unknown source are not chosen and are reported as ``untargeted``; documents without text
 weigh nothing and go with their hash; repeated ids are separate documents with one hash, so
-they are chosen together; NULL or negative shares and repeats count as 0; an empty table
+they are chosen together; NULL or negative shares and repeats count as 0; targets of one source in several spellings are one target with the sum of
+their shares and the least of their repeats, under the first name; an empty table
 chooses nothing and every target is named; further columns are ignored.
 """
 
@@ -61,7 +62,11 @@ def read_targets(targets: DataFrame) -> dict[str, Target]:
     out: dict[str, Target] = {}
     for r in sorted(rows, key=lambda r: r["source"]):
         key = "".join(c for c in r["source"].upper() if c.isalnum())
-        out.setdefault(key, Target(r["source"], max(r["target_share"] or 0.0, 0.0), max(r["max_repeats"] or 0, 0)))
+        one = Target(r["source"], max(r["target_share"] or 0.0, 0.0), max(r["max_repeats"] or 0, 0))
+        if key in out:
+            # the same source in another spelling: its shares add up, and the stricter cap holds
+            one = Target(out[key].source, out[key].share + one.share, min(out[key].max_repeats, one.max_repeats))
+        out[key] = one
     return out
 
 
@@ -113,12 +118,11 @@ def plan(docs: DataFrame, targets: dict[str, Target], total_tokens: float | None
 
 def choose(docs: DataFrame, targets: dict[str, Target]) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of every document that is chosen."""
-    name, repeats = F.lit(None).cast("string"), F.lit(0)
-    for k, t in targets.items():
-        mine = F.col("source_key") == k
-        name = F.when(mine, F.lit(t.source)).otherwise(name)
-        repeats = F.when(mine, F.lit(t.every) + F.when(F.col("h") < t.threshold, 1).otherwise(0)).otherwise(repeats)
-    return docs.select("doc_id", name.alias("source"), F.col("n_tokens").cast("int").alias("n_tokens"), repeats.cast("int").alias("repeats")).filter("repeats > 0")
+    plans = docs.sparkSession.createDataFrame([(k, t.source, t.every, t.threshold) for k, t in targets.items()], "source_key string, source string, every int, threshold long")
+    # at most MOST_TARGETS rows, so broadcasting them is safe
+    known = docs.join(F.broadcast(plans), "source_key")
+    repeats = F.col("every") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    return known.select("doc_id", "source", F.col("n_tokens").cast("int").alias("n_tokens"), repeats.cast("int").alias("repeats")).filter("repeats > 0")
 
 
 def report(docs: DataFrame, targets: dict[str, Target], tolerance: float = 0.005) -> DataFrame:

@@ -11,7 +11,7 @@ shard bounds; a shard leaves at most one container badly filled.
 
 Defined cases: NULL and empty texts (and NULL sizes) have no tokens and join a container of their shard
 without using space; equal sizes are taken in the order of their ids; repeated ids are
-separate items; a NULL or non-positive capacity makes no containers; an empty table
+separate items; a NULL or non-positive capacity makes no containers; more than ``MOST_PLANS`` plans are refused; an empty table
 packs to nothing; further columns are ignored.
 """
 
@@ -117,7 +117,9 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def pack(sizes: DataFrame, plans: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """``sizes`` (doc_id, n_tokens) packed for each of ``plans`` (plan_id, capacity_tokens)."""
-    fixed = [(r[0], r[1]) for r in plans.select("plan_id", "capacity_tokens").filter("plan_id IS NOT NULL AND capacity_tokens > 0").distinct().limit(MOST_PLANS).collect()]
+    fixed = [(r[0], r[1]) for r in plans.select("plan_id", "capacity_tokens").filter("plan_id IS NOT NULL AND capacity_tokens > 0").distinct().limit(MOST_PLANS + 1).collect()]
+    if len(fixed) > MOST_PLANS:
+        raise ValueError(f"more than {MOST_PLANS} plans")
     sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     n = sizes.count()
     if not fixed or not n:
@@ -151,4 +153,20 @@ def summary(packed: DataFrame) -> DataFrame:
     )
 
 
+def audit(packed: DataFrame, sizes: DataFrame, plans: DataFrame) -> DataFrame:
+    """Per plan: documents, and those missing, with tokens lost or placed twice, or split although they fit; containers that are too full or whose unused space is wrong."""
+    capacity = plans.filter("plan_id IS NOT NULL AND capacity_tokens > 0").groupBy("plan_id").agg(F.max("capacity_tokens").alias("capacity"))
+    held = packed.groupBy("plan_id", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.sum(F.col("token_end") - F.col("token_start")).alias("spans"), F.max("token_end").alias("last"), F.countDistinct("token_start").alias("starts"))
+    want = sizes.groupBy("doc_id").agg(F.sum(F.coalesce("n_tokens", F.lit(0))).alias("want"), F.max(F.coalesce("n_tokens", F.lit(0))).alias("largest"), F.count(F.lit(1)).alias("copies"))
+    offers = F.explode(F.array(*[F.struct(F.lit(r["plan_id"]).alias("plan_id"), F.lit(r["capacity"]).alias("capacity")) for r in capacity.limit(MOST_PLANS).collect()])).alias("o")
+    both = want.select("*", offers).select("doc_id", "want", "largest", "copies", "o.*").join(held, ["plan_id", "doc_id"], "left")
+    docs = both.groupBy("plan_id").agg(
+        F.sum("copies").alias("n_docs"), F.count_if(F.col("held").isNull()).alias("n_missing"),
+        F.count_if((F.col("held") != F.col("want")) | (F.col("spans") != F.col("want")) | (F.col("last") != F.col("largest")) | ((F.col("copies") == 1) & (F.col("starts") != F.col("pieces")))).alias("n_wrong_tokens"),
+        F.count_if((F.col("largest") <= F.col("capacity")) & (F.col("pieces") > F.col("copies"))).alias("n_split_in_vain"))
+    bins = packed.groupBy("plan_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.min("unused_tokens").alias("low"), F.max("unused_tokens").alias("high")).join(capacity, "plan_id")
+    wrong = (F.col("t") > F.col("capacity")) | (F.col("low") != F.col("high")) | (F.col("t") + F.col("low") != F.col("capacity"))
+    return docs.join(bins.groupBy("plan_id").agg(F.count_if(wrong).alias("n_wrong_containers")), "plan_id", "left")
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

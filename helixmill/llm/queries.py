@@ -34,6 +34,12 @@ def p6_summary(spark: SparkSession, root: str) -> DataFrame:
     return packing.summary(p6_packed(spark, root))
 
 
+def p6_audit(spark: SparkSession, root: str) -> DataFrame:
+    """What packing must keep, per plan: every token once, no container too full, nothing split that fits."""
+    sizes, plans = token_sizes(spark, root), table(spark, root, "pack_plans")
+    return packing.audit(durable(packing.pack(sizes, plans)), sizes, plans)
+
+
 def p7_mixed(spark: SparkSession, root: str) -> DataFrame:
     docs = mixing.hashed(token_sizes(spark, root))
     return mixing.choose(docs, mixing.plan(docs, mixing.read_targets(table(spark, root, "mix_targets"))))
@@ -44,6 +50,18 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.report(docs, mixing.plan(docs, mixing.read_targets(table(spark, root, "mix_targets"))))
 
 
+def p7_audit(spark: SparkSession, root: str) -> DataFrame:
+    """What mixing must keep, per target: no document too often, none of another source, and the share met where there are documents."""
+    docs = mixing.hashed(token_sizes(spark, root))
+    targets = mixing.plan(docs, mixing.read_targets(table(spark, root, "mix_targets")))
+    chosen = mixing.choose(docs, targets).alias("c").join(docs.alias("d"), "doc_id").select("c.*", "d.source_key")
+    listed = spark.createDataFrame([(k, t.source, t.share, t.max_repeats, t.n_docs) for k, t in targets.items()], "source_key string, name string, target_share double, max_repeats int, n_docs long")
+    wrong = chosen.join(listed, F.col("c.source") == F.col("name")).groupBy("name").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("n_too_often"), F.count_if(listed["source_key"] != chosen["source_key"]).alias("n_foreign"))
+    status = mixing.report(docs, targets).select(F.col("source").alias("name"), "status")
+    out = listed.join(wrong, "name", "left").join(status, "name").fillna(0, ["n_too_often", "n_foreign"])
+    return out.select(F.col("name").alias("source"), "target_share", "max_repeats", "n_docs", "n_too_often", "n_foreign", "status")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     scored = content.score_documents(table(spark, root, "documents"), table(spark, root, "content_labels"))
     return scored.filter(F.col("score") >= content.THRESHOLD).select("doc_id")
@@ -57,7 +75,7 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return content.rates(p8_scores(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_packed, p6_summary, p7_mixed, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_packed, p6_summary, p6_audit, p7_mixed, p7_shares, p7_audit, p8_found, p8_scores, p8_rates)}
 
 
 def _p1_sql() -> str:
@@ -83,5 +101,9 @@ def _p1_sql() -> str:
 ORACLE = {
     "p1_found": f"""WITH {_p1_sql()} SELECT l.row_id, l.field_name, m.entry FROM l JOIN m USING (field_name, value)
       WHERE NOT EXISTS (SELECT 1 FROM code_list c WHERE c.field_name = l.field_name AND c.entry = l.value)""",
+    "p6_audit": """SELECT plan_id, (SELECT count(*) FROM documents) AS n_docs, 0::BIGINT AS n_missing, 0::BIGINT AS n_wrong_tokens, 0::BIGINT AS n_split_in_vain, 0::BIGINT AS n_wrong_containers FROM pack_plans""",
+    "p7_audit": """WITH d AS (SELECT upper(regexp_replace(source, '[^\\p{L}\\p{N}]+', '', 'g')) AS k, count(*) AS n FROM documents GROUP BY ALL)
+      SELECT source, target_share, max_repeats, coalesce(n, 0) AS n_docs, 0::BIGINT AS n_too_often, 0::BIGINT AS n_foreign, CASE WHEN n > 0 THEN 'met' ELSE 'no documents' END AS status
+      FROM mix_targets LEFT JOIN d ON k = upper(regexp_replace(source, '[^\\p{L}\\p{N}]+', '', 'g'))""",
     "p1_unmatched": f"""WITH {_p1_sql()} SELECT l.field_name, l.value, count(*) AS n_rows FROM l JOIN m USING (field_name, value) WHERE m.entry = '{canonical.UNMATCHED}' GROUP BY ALL""",
 }

@@ -72,3 +72,10 @@ def test_token_counts_of_long_and_odd_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = [r["n"] for r in df.select("i", tokens.n_tokens(F.col("text")).alias("n")).orderBy("i").collect()]
     assert got[:3] == [0, 0, 2] and 29_990 <= got[3] <= 60_001 and got[4] > 0 and got[5] > 0
+
+
+def test_one_source_in_two_spellings_is_one_target(spark):
+    rows = [(i, "a b" if i % 2 else "c", 10) for i in range(400)]
+    chosen, report = mixed(spark, rows, [("A_B", 0.3, 1), ("a-b", 0.3, 2), ("c", 0.4, 1)])
+    assert set(report) == {"A_B", "c", "(untargeted)"} and report["A_B"]["target_share"] == 0.6 and report["A_B"]["max_repeats"] == 1
+    assert abs(report["A_B"]["actual_share"] - 0.6) < 0.01

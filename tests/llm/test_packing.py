@@ -62,3 +62,38 @@ def test_empty_texts_and_tables(spark):
 def test_repeated_ids_are_separate(spark):
     rows = packed(spark, [(1, 7), (1, 7), (1, 10), (1, 10)], 10).collect()
     assert len({r["container_id"] for r in rows}) == 4
+
+
+def test_too_many_plans_are_refused_and_none_is_dropped(spark, monkeypatch):
+    from helixmill.llm import packing
+
+    sizes = spark.createDataFrame([(1, 5)], "doc_id long, n_tokens int")
+    plans = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "plan_id string, capacity_tokens int")
+    assert pack(sizes, plans).select("plan_id").distinct().count() == 3
+    monkeypatch.setattr(packing, "MOST_PLANS", 2)
+    with pytest.raises(ValueError):
+        pack(sizes, plans)
+
+
+def test_the_audit_sees_what_is_wrong(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.llm.packing import audit
+
+    sizes = spark.createDataFrame([(1, 7), (2, 3), (3, 25), (4, 0), (5, None)], "doc_id long, n_tokens int")
+    plans = spark.createDataFrame([("p", 10)], "plan_id string, capacity_tokens int")
+    good = pack(sizes, plans)
+    assert audit(good, sizes, plans).first().asDict() == {"plan_id": "p", "n_docs": 5, "n_missing": 0, "n_wrong_tokens": 0, "n_split_in_vain": 0, "n_wrong_containers": 0}
+    bad = audit(good.filter("doc_id <> 1").withColumn("n_tokens", F.when(F.col("doc_id") == 2, 99).otherwise(F.col("n_tokens"))), sizes, plans).first()
+    assert bad["n_missing"] == 1 and bad["n_wrong_tokens"] == 1 and bad["n_wrong_containers"] >= 1
+
+
+def test_pieces_are_encoded_as_the_whole_is(monkeypatch):
+    from helixmill.llm import tokens
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", "Zü", " ", "  ", "\n", ".", "12", "_", "'s", "é", "漢字"]) for _ in range(3000)) for _ in range(5)] + ["x" * 90_000, "word " * 20_000]
+    whole = [tokens._counter(tokens.TOKENIZER)(t) for t in texts if len(t) < tokens.PIECE]
+    monkeypatch.setattr(tokens, "PIECE", 50)
+    assert all("".join(tokens._parts(t)) == t for t in texts) and len(list(tokens._parts(texts[0]))) > 10 and len(list(tokens._parts("x" * 90_000))) == 1
+    assert [tokens._counter(tokens.TOKENIZER)(t) for t in texts if len(t) < 20_000] == whole
