@@ -7,8 +7,8 @@ segments, of which one must occur unchanged at nearly the same place, so candida
 from an equality join on positional substrings and only these are verified with the
 built-in levenshtein. Whatever no join has matched is found by an anti-join and reported.
 
-Only distinct values take part; rows meet the finished mapping once, salted, since one
-value may hold a large part of them.
+Only distinct values take part; rows meet the finished mapping once. The engine sends the mapping to all
+tasks where its measured size allows it, and else splits the partition of a value that holds a large part of the rows.
 
 Defined cases: NULL and blank values are neither mapped nor reported; text of nothing but
 punctuation is unmatched; values that say they are unknown are unmatched; of equally close
@@ -29,7 +29,6 @@ from helixmill.session import durable
 #: White space of any kind, as a pattern without a backslash.
 WHITE = "[\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 UNMATCHED = "unmatched"
-SALTS = 8
 
 # Further words for the entries of the three fields.
 SYNONYMS: dict[str, dict[str, list[str]]] = {
@@ -156,11 +155,7 @@ def map_rows(rows: DataFrame, row_id: str, fields: Sequence[str], codes: DataFra
     values = spark.sql("SELECT DISTINCT field_name, value FROM {long}", long=long)
     mapping = value_mapping(values, codes, durable(reference_strings(spark, codes)))
     return spark.sql(
-        # a salted copy is larger than its file suggests, so the mapping is never broadcast
-        f"""SELECT /*+ MERGE(m) */ l.row_id, l.field_name, l.value, m.entry, m.how
-            FROM (SELECT *, pmod(xxhash64(row_id), {SALTS}) AS salt FROM {{long}}) l
-            JOIN (SELECT *, explode(sequence(0L, {SALTS - 1}L)) AS salt FROM {{mapping}} WHERE {only}) m
-            ON m.field_name = l.field_name AND m.value = l.value AND m.salt = l.salt""",
+        f"SELECT l.row_id, l.field_name, l.value, m.entry, m.how FROM {{long}} l JOIN (SELECT * FROM {{mapping}} WHERE {only}) m ON m.field_name = l.field_name AND m.value = l.value",
         long=long, mapping=durable(mapping),
     )
 
