@@ -3,7 +3,8 @@
 The check runs on distinct (key, loaded_at) pairs: however often a key is repeated, and
 however much one key dominates, it meets the parents once. Parents are reduced to what
 can decide: the first arrival of a key that was never withdrawn, and the distinct
-lifetimes of the rest. The rows themselves are only joined back to pairs found orphaned.
+lifetimes of the rest. The rows themselves are only joined back to pairs found orphaned, in a join whose
+partitions the engine splits where one key holds a large part of the rows.
 
 Defined cases: NULL and blank references are no references and never orphans; text made
 only of punctuation is a reference to nothing; a parent row with NULL loaded_at is never
@@ -21,10 +22,6 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.text import id_key, is_blank
 
-#: Parts into which the rows of any one orphaned key are split for the join back.
-SALTS = 16
-
-
 @dataclass(frozen=True)
 class Reference:
     """``child.column`` refers to ``parent.parent_column``."""
@@ -65,11 +62,9 @@ def orphan_rows(refs: Sequence[Reference]) -> DataFrame:
         rows = ref.child.filter(~is_blank(col)).select(
             F.lit(ref.table_name).alias("table_name"), F.col(f"`{ref.row_id}`").alias("row_id"), F.lit(ref.column).alias("column_name"),
             col.alias("reference"), at.alias("loaded_at"), id_key(col).alias("key"),
-            F.pmod(F.xxhash64(F.col(f"`{ref.row_id}`")), F.lit(SALTS)).cast("int").alias("salt"),
         )
-        pairs = orphan_pairs(ref).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        same = (F.col("r.key") == F.col("o.key")) & F.col("r.loaded_at").eqNullSafe(F.col("o.seen")) & (F.col("r.salt") == F.col("o.salt"))
-        part = rows.alias("r").join(pairs.alias("o"), same, "left_semi").drop("key", "salt")
+        same = (F.col("r.key") == F.col("o.key")) & F.col("r.loaded_at").eqNullSafe(F.col("o.seen"))
+        part = rows.alias("r").join(orphan_pairs(ref).alias("o"), same, "left_semi").drop("key")
         out = part if out is None else out.unionByName(part)
     return out
 
