@@ -129,8 +129,10 @@ def _local_nearest(shared):
             names = pdf["key"].to_numpy()
             have_d = ~np.isnan(donors)
             filled_d = np.where(have_d, donors, 0.0)
-            for start in range(0, len(queries), 256):
-                hq, fq = have_q[start : start + 256], filled_q[start : start + 256]
+            # differences of a few queries with all donors of the batch at a time: about 4 million numbers
+            step = max(1, 4_000_000 // max(len(pdf) * len(columns), 1))
+            for start in range(0, len(queries), step):
+                hq, fq = have_q[start : start + step], filled_q[start : start + step]
                 both = hq.astype(float) @ have_d.T.astype(float)
                 gap = fq[:, None, :] - filled_d[None, :, :]
                 gap *= hq[:, None, :] & have_d[None, :, :]

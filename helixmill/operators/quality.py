@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from helixmill.errors import QualityControlError
 from helixmill.functions import special
 from helixmill.operators.matrix import by_feature, feature_quantiles, nonzero, numeric_columns, to_long, value_frequencies
 from helixmill.operators.value_counts import value_ranks
+from helixmill.session import durable
 
 def _v() -> Column:
     return F.col("value")
@@ -89,15 +91,58 @@ def overall_distribution(long: DataFrame) -> DataFrame:
     return long.agg(F.count(_v()).alias("n"), F.avg(_v()).alias("mean"), F.stddev_pop(_v()).alias("std"), F.skewness(_v()).alias("skewness"), F.kurtosis(_v()).alias("kurtosis"), F.min(_v()).alias("min"), F.max(_v()).alias("max"))
 
 
-def correlations(long: DataFrame, key: str = "sample") -> DataFrame:
-    """(feature_a, feature_b, r) of every pair of features, over the rows that have both.
+#: Features whose pairs one pass adds up in a task: six square tables of numbers.
+PAIR_BLOCK = 500
 
-    A row's features meet inside its own array, so nothing is joined; the number of pairs is
-    that of the matrix asked for.
+
+def correlations(long: DataFrame, key: str = "sample", block: int = PAIR_BLOCK) -> DataFrame:
+    """(feature_a, feature_b, r, n) of every pair of features, over the rows that have both.
+
+    A task adds up the products of its rows as matrices, of ``block`` by ``block`` features at a time, and hands
+    on one row per pair; rows are never multiplied by pairs. NULL where a feature does not vary.
     """
-    rows = long.filter(_v().isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
-    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.greatest(F.size("x") - i - 1, F.lit(0))), lambda b: F.struct(a["feature"].alias("feature_a"), b["feature"].alias("feature_b"), a["value"].alias("u"), b["value"].alias("v")))))
-    return rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("feature_a", "feature_b").agg(F.corr("u", "v").alias("r"), F.count(F.lit(1)).alias("n"))
+    stats = by_feature(long).filter("n > 0").select("feature", "mean").orderBy("feature").collect()
+    names, means = [r["feature"] for r in stats], [r["mean"] for r in stats]
+    schema = "a int, b int, n double, x double, y double, xx double, yy double, xy double"
+    spark = long.sparkSession
+    numbers = spark.createDataFrame(list(zip(names, range(len(names)), means)), "feature string, i int, m double")
+    centred = long.filter(_v().isNotNull()).join(numbers, "feature").select(key, "i", (_v() - F.col("m")).alias("v"))
+    rows = centred.groupBy(key).agg(F.collect_list(F.struct("i", "v")).alias("x"))
+    starts = list(range(0, len(names), block))
+    rows = durable(rows) if len(starts) > 1 else rows
+    parts = [rows.select("x").mapInPandas(_pair_sums(s, t, block, len(names)), schema) for s in starts for t in starts if s <= t]
+    total = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    t = total.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    sx, sy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    first, second = numbers.selectExpr("i AS a", "feature AS feature_a", "m AS ma"), numbers.selectExpr("i AS b", "feature AS feature_b", "m AS mb")
+    # what is left by rounding around a large mean is no variance
+    varies = (sx > F.col("n") * F.col("ma") * F.col("ma") * 1e-24) & (sy > F.col("n") * F.col("mb") * F.col("mb") * 1e-24)
+    r = F.when(varies, F.greatest(F.least((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(sx * sy), F.lit(1.0)), F.lit(-1.0)))
+    return t.join(first, "a").join(second, "b").select("feature_a", "feature_b", r.alias("r"), F.col("n").cast("long").alias("n"))
+
+
+def _pair_sums(s: int, t: int, block: int, n: int):
+    """Sums over rows that have both features, for features from ``s`` on by features from ``t`` on."""
+    left, right = np.arange(s, min(s + block, n)), np.arange(t, min(t + block, n))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((6, len(left), len(right)))
+        for pdf in batches:
+            at = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["x"]])
+            i = np.array([e["i"] for x in pdf["x"] for e in x], dtype=np.int64)
+            v = np.array([e["v"] for x in pdf["x"] for e in x], dtype=float)
+            tables = []
+            for low, size in ((s, len(left)), (t, len(right))):
+                mine = (i >= low) & (i < low + size)
+                x, have = np.zeros((len(pdf), size)), np.zeros((len(pdf), size))
+                x[at[mine], i[mine] - low], have[at[mine], i[mine] - low] = v[mine], 1.0
+                tables.append((x, have))
+            (x, hx), (y, hy) = tables
+            sums += np.stack([hx.T @ hy, x.T @ hy, hx.T @ y, (x * x).T @ hy, hx.T @ (y * y), x.T @ y])
+        a, b = np.nonzero((left[:, None] < right[None, :]) & (sums[0] > 0))
+        yield pd.DataFrame({"a": left[a].astype("int32"), "b": right[b].astype("int32"), **{c: sums[k, a, b] for k, c in enumerate(("n", "x", "y", "xx", "yy", "xy"))}})
+
+    return work
 
 
 def high_correlations(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -116,10 +161,12 @@ def batch_stats(long: DataFrame, batch: str) -> DataFrame:
 def kruskal(long: DataFrame, group: str) -> DataFrame:
     """(feature, n, groups, h, p_value) of the Kruskal-Wallis test, corrected for ties."""
     known = long.filter(_v().isNotNull() & F.col(group).isNotNull())
-    ranks = value_ranks(value_frequencies(known, ["feature"]), ["feature"])
+    # values are counted by group first, so a value that many rows share is one row per group from here on
+    counts = known.groupBy("feature", "value", group).agg(F.count(F.lit(1)).alias("k"))
+    ranks = value_ranks(counts.groupBy("feature", "value").agg(F.sum("k").alias("cnt")), ["feature"])
     ranks = ranks.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / 2)
     ties = ranks.groupBy("feature").agg(F.sum(F.col("cnt").cast("double") * F.col("cnt") * F.col("cnt") - F.col("cnt")).alias("ties"))
-    sums = known.join(ranks.select("feature", "value", "rank"), ["feature", "value"]).groupBy("feature", group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
+    sums = counts.join(ranks.select("feature", "value", "rank"), ["feature", "value"]).groupBy("feature", group).agg(F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("k").alias("n"))
     per = sums.groupBy("feature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"))
     n = F.col("n").cast("double")
     h = (12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / nonzero(1 - F.col("ties") / (n * n * n - n))
@@ -158,10 +205,11 @@ def two_groups(long: DataFrame, group: str, a, b) -> DataFrame:
 def mann_whitney(long: DataFrame, group: str, a, b) -> DataFrame:
     """U of group ``a`` against ``b`` and a normal-approximation p with tie correction."""
     known = long.filter(_v().isNotNull() & F.col(group).isin(a, b))
-    ranks = value_ranks(value_frequencies(known, ["feature"]), ["feature"]).withColumn("rank", F.col("before") + (F.col("cnt") + 1) / 2)
-    ties = ranks.groupBy("feature").agg(F.sum(F.col("cnt").cast("double") * F.col("cnt") * F.col("cnt") - F.col("cnt")).alias("ties"))
     first = F.col(group) == a
-    sums = known.join(ranks.select("feature", "value", "rank"), ["feature", "value"]).groupBy("feature").agg(F.sum(F.when(first, F.col("rank"))).alias("r"), F.count_if(first).cast("double").alias("na"), F.count_if(~first).cast("double").alias("nb"))
+    counts = known.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"), F.count_if(first).alias("ka"))
+    ranks = value_ranks(counts, ["feature"]).withColumn("rank", F.col("before") + (F.col("cnt") + 1) / 2)
+    ties = ranks.groupBy("feature").agg(F.sum(F.col("cnt").cast("double") * F.col("cnt") * F.col("cnt") - F.col("cnt")).alias("ties"))
+    sums = ranks.groupBy("feature").agg(F.sum(F.col("rank") * F.col("ka")).alias("r"), F.sum("ka").cast("double").alias("na"), F.sum(F.col("cnt") - F.col("ka")).cast("double").alias("nb"))
     n = F.col("na") + F.col("nb")
     u = F.col("r") - F.col("na") * (F.col("na") + 1) / 2
     sd = F.sqrt(F.col("na") * F.col("nb") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))

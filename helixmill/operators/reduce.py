@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from helixmill.errors import IntegrationError
 from helixmill.functions.text import clean_number
+from helixmill.session import durable
 
 #: Features a Gram matrix is formed for; 4000 squared numbers are 128 MB.
 MOST_FEATURES = 4000
@@ -57,7 +58,7 @@ def gram(df: DataFrame, columns: Sequence[str]) -> tuple[float, np.ndarray, np.n
     """(n, sums, X'X) with missing values taken as the column's mean."""
     p = len(columns)
     if p > MOST_FEATURES:
-        raise IntegrationError(f"{p} features; at most {MOST_FEATURES} are supported, select some first")
+        raise IntegrationError(f"{p} features; a Gram matrix holds {MOST_FEATURES}. Use pca_long, which takes any number")
     row = df.agg(*[F.avg(clean_number(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
     mean = np.array([row[i] if row[i] is not None else 0.0 for i in range(p)])
 
@@ -71,11 +72,82 @@ def gram(df: DataFrame, columns: Sequence[str]) -> tuple[float, np.ndarray, np.n
 
 
 def project(df: DataFrame, key: str, columns: Sequence[str], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prefix: str) -> DataFrame:
-    """(key, {prefix}1, ...): the centred, scaled rows times the weights, as plain expressions."""
-    z = F.array(*[(F.coalesce(clean_number(F.col(f"`{c}`")), F.lit(float(m))) - float(m)) / float(s) for c, m, s in zip(columns, mean, scale)])
-    out = df.select(key, z.alias("_z"))
-    dot = lambda w: F.aggregate(F.zip_with("_z", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return out.select(key, *[dot(weights[:, k]).alias(f"{prefix}{k + 1}") for k in range(weights.shape[1])])
+    """(key, {prefix}1, ...): the centred, scaled rows times the weights, in Arrow batches."""
+    kind, names = dict(df.dtypes)[key], [f"{prefix}{k + 1}" for k in range(weights.shape[1])]
+    if not names:
+        return df.select(key)
+    turned = weights / np.asarray(scale, dtype=float)[:, None]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf.iloc[:, 1:].to_numpy(dtype=float)
+            scores = np.where(np.isnan(x), 0.0, x - mean) @ turned
+            yield pd.DataFrame({key: pdf.iloc[:, 0], **{n: scores[:, k] for k, n in enumerate(names)}})
+
+    clean = df.select(key, *[c.alias(f"c{i}") for i, c in enumerate(_clean(df, columns))])
+    return clean.mapInPandas(work, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names))
+
+
+#: Samples of a long matrix with any number of features; their products with each other are 128 MB.
+MOST_SAMPLES = 4000
+
+
+def pca_long(long: DataFrame, components: int, scale: bool = True) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Principal components of a long matrix (sample, feature, value) of any number of features.
+
+    The scores (sample, PC1, ...), the loadings (feature, PC1, ...) and the shares of variance. Samples by
+    samples products are added up over the features, so only the number of samples is bounded (``MOST_SAMPLES``). Missing
+    values are the feature's mean; the largest loading of each component is positive.
+    """
+    spark = long.sparkSession
+    samples = [r[0] for r in long.select("sample").distinct().orderBy("sample").limit(MOST_SAMPLES + 1).collect()]
+    n = len(samples)
+    if n > MOST_SAMPLES:
+        raise IntegrationError(f"more than {MOST_SAMPLES} samples; pivot the features and use pca")
+    kind = dict(long.dtypes)["sample"]
+    numbers = spark.createDataFrame(list(zip(samples, range(n))), f"sample {kind}, i int")
+    cells = long.filter("value IS NOT NULL").join(F.broadcast(numbers), "sample").groupBy("feature").agg(F.collect_list(F.struct("i", "value")).alias("x"))
+    # a feature has at most MOST_SAMPLES cells
+    vectors = durable(cells)
+
+    def standardised(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(pdf), n))
+        for row, x in zip(out, pdf["x"]):
+            at, v = np.array([e["i"] for e in x]), np.array([e["value"] for e in x], dtype=float)
+            row[at] = v - v.mean()
+            sd = np.sqrt((row * row).sum() / n)
+            if scale and sd > 0:
+                row /= sd
+        return out
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for pdf in batches:
+            z = standardised(pdf)
+            total += z.T @ z
+        yield pd.DataFrame({"i": np.arange(n, dtype="int32"), "row": total.tolist()})
+
+    added = vectors.mapInPandas(products, "i int, row array<double>").select("i", F.posexplode("row")).groupBy("i", "pos").agg(F.sum("col").alias("s")).toPandas()
+    k = np.zeros((n, n))
+    k[added["i"].to_numpy(), added["pos"].to_numpy()] = added["s"].to_numpy()
+    # no feature: no variance
+    values, u = np.linalg.eigh(k) if n else (np.zeros(0), np.zeros((0, 0)))
+    order = np.argsort(-values)[: min(components, n)]
+    values, root = np.maximum(values, 0), np.sqrt(np.maximum(values[order], 1e-300))
+    u = u[:, order]
+    names = [f"PC{c + 1}" for c in range(len(order))]
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            w = standardised(pdf) @ u / root
+            yield pd.DataFrame({"feature": pdf["feature"], **{c: w[:, j] for j, c in enumerate(names)}})
+
+    loadings = durable(vectors.mapInPandas(weights, "feature string, " + ", ".join(f"{c} double" for c in names)))
+    largest = loadings.agg(*[F.max(F.struct(F.abs(c).alias("s"), "feature", F.col(c).alias("w")))["w"].alias(c) for c in names]).first()
+    sign = np.array([-1.0 if (largest[c] or 0.0) < 0 else 1.0 for c in names])
+    scores = spark.createDataFrame([(s, *[float(x) for x in row]) for s, row in zip(samples, u * root * sign)], f"sample {kind}, " + ", ".join(f"{c} double" for c in names))
+    turned = loadings.select("feature", *[(F.col(c) * float(g)).alias(c) for c, g in zip(names, sign)])
+    return scores, turned, values[order] / (values.sum() or 1.0)
 
 
 def pca(df: DataFrame, key: str, columns: Sequence[str], components: int, scale: bool = False) -> Reduced:

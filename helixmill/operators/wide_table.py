@@ -19,8 +19,8 @@ gives an empty wide table with all columns. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,10 @@ from helixmill.functions.text import clean_number, id_key, versioned_id_key
 from helixmill.session import durable
 
 
+#: Attributes that are numbered in one table sent to all tasks; some tens of megabytes.
+MOST_NUMBERED = 500_000
+
+
 @dataclass(frozen=True)
 class WideSpec:
     """Where entity, attribute and value are, and what the attributes are called."""
@@ -58,7 +62,7 @@ def cells(rows: DataFrame, spec: WideSpec) -> DataFrame:
     """(entity_key, attribute_no, value, competing) with one row per entity and attribute."""
     spark = rows.sparkSession
     if len(spec.attributes) > spec.max_attributes:
-        raise PreprocessingError(f"more than {spec.max_attributes} attributes")
+        raise PreprocessingError(f"more than {spec.max_attributes} attributes; wide_blocks takes any number up to {MOST_NUMBERED}")
     number = clean_number(F.col(f"`{spec.value}`"))
     raw = rows.select(
         id_key(F.col(f"`{spec.entity}`")).alias("entity_key"),
@@ -115,7 +119,7 @@ def to_wide(rows: DataFrame, spec: WideSpec) -> DataFrame:
     rest = per_entity
     if frequent:
         rest = rest.filter(~F.col("signature").isin([F.array(*[F.lit(i) for i in s]) for s in frequent]))
-    # a position in the signature is one binary-search-free lookup: array_position is 0 where absent
+    # array_position looks through the signature for every attribute, which is cheap for some hundreds of them; 0 where absent
     place = lambda i: F.array_position("signature", i)
     tables.append(rest.select("entity_key", *[F.try_element_at("vals", F.nullif(place(i), F.lit(0)).cast("int")).alias(n) for i, n in enumerate(spec.attributes)], told))
     out = tables[0]
@@ -124,6 +128,22 @@ def to_wide(rows: DataFrame, spec: WideSpec) -> DataFrame:
     return out.select("entity_key", *[F.col(f"`{n}`").cast(T.DoubleType()).alias(n) for n in spec.attributes], "competing")
 
 
+def wide_blocks(rows: DataFrame, spec: WideSpec, width: int = 1000) -> Iterator[tuple[list[str], DataFrame]]:
+    """The wide table of any number of attributes as tables of at most ``width`` of them: (names, entity_key and columns).
+
+    Every entity has a row in every table, so they can be stored side by side or joined. Cells are made once.
+    """
+    cell = durable(cells(rows, replace(spec, max_attributes=MOST_NUMBERED)))
+    every = durable(cell.select("entity_key").distinct())
+    for start in range(0, len(spec.attributes), width):
+        names = list(spec.attributes[start : start + width])
+        inside = cell.filter((F.col("attribute_no") >= start) & (F.col("attribute_no") < start + len(names)))
+        # a cell is one row, so first takes it as it is
+        block = inside.groupBy("entity_key").pivot("attribute_no", list(range(start, start + len(names)))).agg(F.first("value"))
+        named = block.select("entity_key", *[F.col(f"`{start + i}`").alias(n) for i, n in enumerate(names)])
+        yield names, every.join(named, "entity_key", "left")
+
+
 def name_entities(wide: DataFrame, registry: DataFrame, column: str) -> DataFrame:
     """Put the registry's spelling of the entity in front; unknown entities keep their key."""
     known = registry.filter(F.col(column).isNotNull()).groupBy(id_key(F.col(column)).alias("entity_key")).agg(F.min(column).alias("_name"))

@@ -255,3 +255,44 @@ def test_entity_attributes_of_any_length(spark):
 
     lines = spark.createDataFrame([("d", 0, "^SAMPLE = s1"), ("d", 1, "!note = " + "x" * 1_200_000)], "document string, line_no int, value string")
     assert len(readers.parse_entities(lines).first()["values"][0]) == 1_200_000
+
+
+def test_correlations_against_numpy_in_one_and_in_many_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 7)) + 1000
+    x[:, 3] = x[:, 2] * 2 + rng.normal(size=40) * 0.01
+    x[:, 5] = 3.3
+    gone = rng.random(x.shape) < 0.2
+    rows = [(i, f"f{j}", None if gone[i, j] else float(x[i, j])) for i in range(40) for j in range(7)]
+    df = spark.createDataFrame(rows, "sample int, feature string, value double")
+    for block in (500, 3):
+        got = {(r["feature_a"], r["feature_b"]): r for r in quality.correlations(df, block=block).collect()}
+        assert len(got) == 21
+        for (a, b), r in got.items():
+            i, j = int(a[1]), int(b[1])
+            both = ~gone[:, i] & ~gone[:, j]
+            assert r["n"] == both.sum()
+            if 5 in (i, j):
+                assert r["r"] is None
+            else:
+                assert r["r"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert quality.correlations(df.limit(0)).count() == 0
+
+
+def test_principal_components_of_more_features_than_samples(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 30)) * rng.uniform(0.5, 3, 30)
+    df = spark.createDataFrame([(f"s{i:02d}", f"f{j:02d}", float(x[i, j])) for i in range(12) for j in range(30)], "sample string, feature string, value double")
+    scores, loadings, ratios = reduce.pca_long(df, 3)
+    wide = matrix.to_wide(df, "sample", "feature", "value", [f"f{j:02d}" for j in range(30)])
+    other = reduce.pca(wide, "sample", [f"f{j:02d}" for j in range(30)], 3, scale=True)
+    assert ratios == pytest.approx(other.ratios)
+    mine, theirs = (sorted(tuple(r) for r in s.collect()) for s in (scores, other.scores))
+    for a, b in zip(mine, theirs):
+        assert a[0] == b[0] and [abs(v) for v in a[1:]] == pytest.approx([abs(v) for v in b[1:]], abs=1e-8)
+    found = {r["feature"]: [r["PC1"], r["PC2"], r["PC3"]] for r in loadings.collect()}
+    assert [abs(v) for v in found["f07"]] == pytest.approx(np.abs(other.loadings[7]).tolist(), abs=1e-8)

@@ -51,3 +51,14 @@ def test_named_entities_and_attribute_limit(spark):
     assert named == {"A-1": 1.0, "ZZ": 1.0}
     with pytest.raises(PreprocessingError):
         w.attribute_names(spark.range(20).selectExpr("cast(id as string) as n"), "n", 10)
+
+
+def test_blocks_hold_what_the_wide_table_holds(spark):
+    rows = [(f"e{i % 7}", f"G{(i * i) % 11}", float(i), i) for i in range(60)] + [("none", "G99", 1.0, 1), ("gap", "G1", None, 1)]
+    names = [f"G{i}" for i in range(11)]
+    got, _ = wide(spark, rows, names)
+    df = spark.createDataFrame([(*r, "x", 0.0, "y") for r in rows], SCHEMA)
+    blocks = list(w.wide_blocks(df, w.WideSpec("s", "g", "v", names, order=("t",), max_attributes=3), width=4))
+    assert [len(n) for n, _ in blocks] == [4, 4, 3]
+    for n, block in blocks:
+        assert {r["entity_key"]: tuple(r[c] for c in n) for r in block.collect()} == {k: tuple(r[c] for c in n) for k, r in got.items()}
