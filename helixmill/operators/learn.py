@@ -124,6 +124,12 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("split", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def accuracy(confused: DataFrame) -> DataFrame:
+    """(split, n, accuracy) from a confusion table."""
+    hit = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+    return confused.groupBy("split").agg(F.sum("n").alias("n"), (hit / F.sum("n")).alias("accuracy"))
+
+
 def class_report(confused: DataFrame, split: str = "test") -> DataFrame:
     """(label, precision, recall, f1, support) from a confusion table."""
     c = confused.filter(F.col("split") == split)

@@ -126,3 +126,15 @@ def rf_class_report(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def logistic_confusion(spark: SparkSession, root: str) -> DataFrame:
     return _judged(spark, root, "logistic")
+
+
+@query()
+def svm_confusion(spark: SparkSession, root: str) -> DataFrame:
+    return _judged(spark, root, "svm")
+
+
+@query()
+def model_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    """(model, split, n, accuracy) of every kind of model."""
+    parts = [learn.accuracy(_judged(spark, root, m)).select(F.lit(m).alias("model"), "*") for m in ("random_forest", "logistic", "svm")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -142,14 +142,23 @@ def quantile_normalize(spark: SparkSession, root: str) -> DataFrame:
     return a.tidy(normalize.quantile_normalize(a.counts(spark, root)), ["value"]).select("sample", "feature", "value")
 
 
-@query()
+_TMM = f"""{a.COUNTS}, t AS (SELECT sample, sum(value) FILTER (value > 0) AS total, sum(value) AS whole, quantile_cont(value, 0.75) FILTER (value > 0) AS uq FROM counts GROUP BY sample),
+  ref AS (SELECT sample, total FROM t ORDER BY abs(uq / total - (SELECT avg(uq / total) FROM t)), sample LIMIT 1),
+  x AS (SELECT c.sample, c.value AS v, t.total AS n, q.value AS rv, ref.total AS rn FROM counts c JOIN t USING (sample), ref JOIN counts q ON q.sample = ref.sample WHERE q.feature = c.feature AND c.value > 0 AND q.value > 0),
+  y AS (SELECT sample, log2(v / n / (rv / rn)) AS m, 0.5 * log2(v / n * (rv / rn)) AS a, 1 / ((n - v) / n / v + (rn - rv) / rn / rv) AS w FROM x),
+  k AS (SELECT *, percent_rank() OVER (PARTITION BY sample ORDER BY m) AS pm, percent_rank() OVER (PARTITION BY sample ORDER BY a) AS pa FROM y),
+  e AS (SELECT t.sample, t.whole, coalesce(lf, 0) AS lf FROM t LEFT JOIN (SELECT sample, sum(w * m) / sum(w) AS lf FROM k WHERE pm BETWEEN 0.3 AND 0.7 AND pa BETWEEN 0.05 AND 0.95 GROUP BY sample) USING (sample)),
+  f AS (SELECT sample, whole, pow(2, lf - (SELECT avg(lf) FROM e)) AS factor FROM e)"""
+
+
+@query(f"WITH {_TMM} SELECT sample, {R.format('factor')} AS factor FROM f")
 def tmm_factors(spark: SparkSession, root: str) -> DataFrame:
-    return normalize.trimmed_mean_factors(a.counts(spark, root))
+    return a.tidy(normalize.trimmed_mean_factors(a.counts(spark, root)), ["factor"])
 
 
-@query()
+@query(f"WITH {_TMM} SELECT sample, feature, {R.format('value * 1e6 / (whole * factor)')} AS value FROM counts JOIN f USING (sample)")
 def tmm_normalize(spark: SparkSession, root: str) -> DataFrame:
-    return normalize.by_trimmed_mean(a.counts(spark, root))
+    return a.tidy(normalize.by_trimmed_mean(a.counts(spark, root)), ["value"])
 
 
 # --- scaling -----------------------------------------------------------------------------

@@ -6,10 +6,11 @@ import hashlib
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.operators import fill, orphans, value_counts, wide_table
+from helixmill.operators.matrix import to_long
 from helixmill.session import durable, shared_dir, table
 
 #: Valid values of the profiled columns, ends included.
@@ -99,14 +100,21 @@ def p3_signatures(spark: SparkSession, root: str) -> DataFrame:
     return wide_table.signature_report(wide_table.entities(wide_table.cells(table(spark, root, "gene_expression"), expression_spec(spark, root))))
 
 
-USABLE_AGE = fill.usable_number(F.col("age"), 0.0, 120.0, low_open=True)
-USABLE_STAGE = fill.stage_of(F.col("stage"))
-USABLE_TP53 = fill.usable_number(F.col("TP53"), 0.0)
+def usable_age() -> Column:
+    return fill.usable_number(F.col("age"), 0.0, 120.0, low_open=True)
+
+
+def usable_stage() -> Column:
+    return fill.stage_of(F.col("stage"))
+
+
+def usable_tp53() -> Column:
+    return fill.usable_number(F.col("TP53"), 0.0)
 
 
 def prepared(rows: DataFrame) -> DataFrame:
     """``rows`` with the patient's key and the usable stage, worked out once for all passes."""
-    return durable(rows.withColumn("_patient", fill.subject_key("patient_id")).withColumn("_stage", USABLE_STAGE))
+    return durable(rows.withColumn("_patient", fill.subject_key("patient_id")).withColumn("_stage", usable_stage()))
 
 
 def fill_stage(rows: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ def fill_stage(rows: DataFrame) -> DataFrame:
 
 
 def fill_age(rows: DataFrame) -> DataFrame:
-    return fill.fill_number(rows, "age", USABLE_AGE, ["site", "stage", "load_id"], F.col("_patient"), low=0.5, high=120.0)
+    return fill.fill_number(rows, "age", usable_age(), ["site", "stage", "load_id"], F.col("_patient"), low=0.5, high=120.0)
 
 
 def fill_both(rows: DataFrame) -> DataFrame:
@@ -125,8 +133,14 @@ def fill_both(rows: DataFrame) -> DataFrame:
 def fill_tp53(rows: DataFrame, clinical: DataFrame) -> DataFrame:
     """The site and stage of a row are those of its patient in ``clinical``."""
     keyed = rows.withColumn("_patient", fill.subject_key("patient_id"))
-    grouped = durable(fill.with_groups_of(keyed, clinical.select("patient_id", "site", USABLE_STAGE.alias("stage")), F.col("_patient"), "patient_id", ["site", "stage"]))
-    return fill.fill_number(grouped, "TP53", USABLE_TP53, ["_site", "_stage", "load_id"], F.col("_patient"), log=True, low=0.0).drop("_patient", "_site", "_stage")
+    grouped = durable(fill.with_groups_of(keyed, clinical.select("patient_id", "site", usable_stage().alias("stage")), F.col("_patient"), "patient_id", ["site", "stage"]))
+    return fill.fill_number(grouped, "TP53", usable_tp53(), ["_site", "_stage", "load_id"], F.col("_patient"), log=True, low=0.0).drop("_patient", "_site", "_stage")
+
+
+def p3_cells(spark: SparkSession, root: str) -> DataFrame:
+    """The wide table turned back: (sample_id, gene_id, value) of every cell with a value."""
+    wide = expression_wide(spark, root)
+    return to_long(wide, "sample_id", [c for c in wide.columns if c not in ("sample_id", "competing")]).filter("value IS NOT NULL").select("sample_id", F.col("feature").alias("gene_id"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 def filled_clinical(spark: SparkSession, root: str) -> DataFrame:
@@ -141,8 +155,8 @@ def hold_outs(spark: SparkSession, root: str) -> DataFrame:
     """Errors of filling every fifth usable value from the others, beside those of the mean or most frequent class."""
     clinical, expression, hidden = table(spark, root, "demo_clinical_data"), table(spark, root, "demo_expression_data"), F.col("row_id") % 5 == 0
     parts = {
-        "demo_clinical_data": [fill.hold_out(clinical, "age", USABLE_AGE, hidden, fill_both), fill.hold_out(clinical, "stage", USABLE_STAGE, hidden, lambda df: fill_stage(prepared(df)))],
-        "demo_expression_data": [fill.hold_out(expression, "TP53", USABLE_TP53, hidden, lambda df: fill_tp53(df, clinical), log=True)],
+        "demo_clinical_data": [fill.hold_out(clinical, "age", usable_age(), hidden, fill_both), fill.hold_out(clinical, "stage", usable_stage(), hidden, lambda df: fill_stage(prepared(df)))],
+        "demo_expression_data": [fill.hold_out(expression, "TP53", usable_tp53(), hidden, lambda df: fill_tp53(df, clinical), log=True)],
     }
     return reduce(DataFrame.unionByName, [p.select(F.lit(t).alias("table_name"), "*") for t, ps in parts.items() for p in ps])
 
@@ -181,7 +195,7 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return orphans.orphan_report(references(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p2_increments, p3_found, p3_wide, p3_signatures, p4_found, p4_filled_clinical, p4_filled_expression, p4_holdout, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p2_increments, p3_found, p3_wide, p3_cells, p3_signatures, p4_found, p4_filled_clinical, p4_filled_expression, p4_holdout, p5_found, p5_report)}
 
 _KEY = "upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 _SET = "{0} IS NOT NULL AND regexp_matches({0}, '[^\\s\\p{{Z}}]')"
@@ -244,6 +258,7 @@ _STAGE_OK = f"regexp_matches({_STAGE}, '^(ajcc|uicc|figo|tnm)?([pc]?(stage|stadi
 
 _STAGE_CORE = f"regexp_extract({_STAGE}, '^(ajcc|uicc|figo|tnm)?([pc]?(stage|stadium|stade|estadio|stadio|stad|stg|st))?(iv|i{{1,3}}|[1-4]|one|two|three|four|[Ⅰ-Ⅳⅰ-ⅳ])([abc][0-9]?)?$', 4)"
 
+_GENE_KEY = "upper(regexp_replace(split_part(trim(gene_id), '.', 1), '[^A-Za-z0-9]+', '', 'g'))"
 _CELLS = f"""SELECT {_KEY.format('sample_id')} AS s, upper(regexp_replace(split_part(trim(gene_id), '.', 1), '[^A-Za-z0-9]+', '', 'g')) AS g, expression_value AS v
   FROM gene_expression WHERE expression_value >= 0 AND NOT isnan(expression_value)"""
 
@@ -257,6 +272,12 @@ ORACLE = {
     "p2_increments": f"""WITH {_PROFILE} SELECT table_name, column_name, sum(n)::BIGINT AS n_rows, count(*) AS n_values, 0::BIGINT AS n_different FROM (SELECT table_name, column_name, load_id, v, count(*) AS n FROM v GROUP BY ALL) GROUP BY ALL""",
     "p3_found": f"""SELECT r.sample_id, m.ensembl AS gene_id FROM (SELECT s, g FROM ({_CELLS}) GROUP BY s, g HAVING max(v) - min(v) > 0.001) x
       JOIN sample_registry r ON {_KEY.format('r.sample_id')} = x.s JOIN gene_mapping m ON upper(m.ensembl) = x.g""",
+    "p3_cells": f"""WITH c AS (SELECT {_KEY.format('sample_id')} AS s, {_GENE_KEY} AS g, expression_value AS v, measured_at, loaded_at FROM gene_expression WHERE expression_value >= 0 AND NOT isnan(expression_value)),
+      n AS (SELECT *, row_number() OVER (PARTITION BY s, g ORDER BY measured_at DESC NULLS LAST, loaded_at DESC NULLS LAST, v) AS i FROM c)
+      SELECT r.sample_id, m.ensembl AS gene_id, round(n.v, 6) + 0.0 AS value FROM n JOIN sample_registry r ON {_KEY.format('r.sample_id')} = n.s JOIN gene_mapping m ON upper(m.ensembl) = n.g WHERE i = 1""",
+    "p3_signatures": f"""WITH c AS (SELECT DISTINCT {_KEY.format('sample_id')} AS s, m.ensembl AS g FROM gene_expression JOIN gene_mapping m ON upper(m.ensembl) = {_GENE_KEY} WHERE {_KEY.format('sample_id')} <> ''),
+      e AS (SELECT s, list_sort(list(g)) AS sig FROM c GROUP BY s), k AS (SELECT sig, count(*) AS n FROM e GROUP BY sig)
+      SELECT count(*) AS n_signatures, sum(n)::BIGINT AS n_entities, max(n) AS largest, max(len(sig))::INT AS most_attributes FROM k""",
     "p4_found": f"""SELECT 'demo_clinical_data' AS table_name, row_id, 'age' AS column_name FROM demo_clinical_data WHERE age IS NULL OR isnan(age) OR age <= 0 OR age > 120
       UNION ALL SELECT 'demo_clinical_data', row_id, 'stage' FROM demo_clinical_data WHERE stage IS NULL OR NOT {_STAGE_OK}
       UNION ALL SELECT 'demo_expression_data', row_id, 'TP53' FROM demo_expression_data WHERE "TP53" IS NULL OR isnan("TP53") OR "TP53" < 0""",

@@ -141,6 +141,19 @@ def corr_summary(spark: SparkSession, root: str) -> DataFrame:
     return a.tidy(quality.correlation_summary(quality.correlations(_long(spark, root)), 0.1), ["max_abs_r", "mean_abs_r"], 5)
 
 
+_TWO = """c AS (SELECT var_samp(embedding[1]::DOUBLE) AS a, var_samp(embedding[2]::DOUBLE) AS d, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS b FROM embeddings),
+  l AS (SELECT (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS hi, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS lo FROM c)"""
+
+
+@query(f"WITH {_TWO} SELECT unnest(['condition_number', 'first_to_second']) AS metric, {R.format('hi / lo')} AS value FROM l")
+def eigen_metrics_pair(spark: SparkSession, root: str) -> DataFrame:
+    """Of two features, whose eigenvalues have a closed form."""
+    from helixmill.operators.reduce import spectrum
+
+    found = spectrum(a.embedded_wide(spark, root), ["d00", "d01"])
+    return a.tidy(spark.createDataFrame([(k, v) for k, v in found.items()], "metric string, value double"), ["value"])
+
+
 @query()
 def eigen_metrics(spark: SparkSession, root: str) -> DataFrame:
     from helixmill.operators.reduce import spectrum

@@ -65,3 +65,14 @@ def test_all_numbers_of_a_vector_are_learnt_from_and_exported(spark, tmp_path):
     assert {r["f1"] for r in learn_queries.rf_class_report(spark, str(tmp_path)).collect()} == {1.0}
     out = {r["sample"]: r for r in export_queries.ml_export(spark, str(tmp_path)).collect()}
     assert len(out) == 300 and list(out[7])[3:] == rows[7][2]
+
+
+def test_the_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
