@@ -219,15 +219,16 @@ def impute_chained(df: DataFrame, key: str, columns: Sequence[str], rounds: int
 
 
 def impute(df: DataFrame, strategy: str = "knn", key: str | None = None, exclude: Sequence[str] = (), k: int = 5) -> DataFrame:
-    """Dispatch by strategy; a table without gaps comes back as it is."""
+    """Dispatch by strategy; a table without gaps comes back as it is, and by simple strategies so does every column without."""
     exclude = [*exclude, *([key] if key else [])]
     columns = numeric_columns(df, exclude)
     if strategy not in ("knn", "knn_distance", "median", "mean", "most_frequent", "constant", "iterative"):
         raise PreprocessingError(f"unknown strategy {strategy}")
-    if not any(v > 0 for v in missing_shares(df.withColumns({c: clean_number(F.col(f"`{c}`")) for c in columns}), [c for c in df.columns if c not in exclude]).values()):
+    shares = missing_shares(df.withColumns({c: clean_number(F.col(f"`{c}`")) for c in columns}), [c for c in df.columns if c not in exclude])
+    if not any(v > 0 for v in shares.values()):
         return df
     if strategy.startswith("knn") and key:
         return impute_knn(df, key, columns, k, "distance" if strategy == "knn_distance" else "uniform")
     if strategy == "iterative" and key:
         return impute_chained(df, key, columns)
-    return fit_simple(df, "median" if strategy in ("knn", "knn_distance", "iterative") else strategy, columns, exclude).transform(df)
+    return fit_simple(df, "median" if strategy in ("knn", "knn_distance", "iterative") else strategy, [c for c in columns if shares[c] > 0], texts=[c for c in categorical_columns(df, exclude) if shares[c] > 0]).transform(df)
