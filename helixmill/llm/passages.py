@@ -56,7 +56,7 @@ def passages(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(text, _INVISIBLE, ""), _MARKUP, " ")
     # a line break is put behind every end of a sentence, which is cheaper than splitting by a look behind
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _MASKED, "0"), _ENDS, "$1\n"), _LAUGHS, "$1\n")
-    clean = F.transform(_bound(F.split(t, r"[\r\n]+"), _readings), lambda p: F.trim(F.regexp_replace(p, r"[\s\p{Z}]+", " ")))
+    clean = F.transform(F.array_distinct(_bound(F.split(t, r"[\r\n]+"), _readings)), lambda p: F.trim(F.regexp_replace(p, r"[\s\p{Z}]+", " ")))
     windows = F.flatten(F.transform(clean, lambda p: F.when(F.length(p) <= WINDOW, F.array(p)).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / F.lit(STEP)).cast("int")), lambda i: F.substring(p, i * STEP + 1, F.lit(WINDOW))))))
     return F.coalesce(F.array_distinct(F.filter(windows, lambda p: p.rlike(r"\p{L}"))), F.array().cast("array<string>"))
