@@ -46,20 +46,49 @@ def _signatures(strings: DataFrame, column: str, tolerance: float, frequency: Da
     return grams.join(frequency, "gram").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("take")).select(column, "gram")
 
 
+def _letter_keys(text: Column, t: float) -> Column:
+    """Keys of which two strings of ratio ``t`` share one: up to three of their letters together.
+
+    A match with lengths a and b shares o = ceil(t(a+b)/2) letters or more, counted with repetitions. In any fixed order of
+    letters, the first k that both have are among the first a-o+k of the one and b-o+k of the other; so all
+    combinations of k = min(3, o) of these are keys. b lies between a*t/(2-t) and a*(2-t)/t.
+    """
+    split = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
+    numbered = F.transform(split, lambda g, i: F.concat(g, F.size(F.filter(F.slice(split, 1, i + 1), lambda x: x == g)).cast("string")))
+    ordered = F.transform(F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda s: s["g"])
+    n = F.length(text)
+    least_b, most_b = F.ceil(n * (t / (2 - t)) - 1e-9), F.floor(n * ((2 - t) / t) + 1e-9)
+    low, high = (F.greatest(F.ceil((n + b) * (t / 2) - 1e-9), F.lit(1)).cast("int") for b in (least_b, most_b))
+
+    def keys(k: int) -> Column:
+        # partners with which o is below k use shorter keys, so here o is k or more
+        first = F.slice(ordered, 1, F.least(n, n - F.greatest(low, F.lit(k)) + k))
+        rest = lambda i: F.slice(first, i + 2, F.greatest(F.size(first) - i - 1, F.lit(0)))
+        if k == 1:
+            joined = first
+        elif k == 2:
+            joined = F.flatten(F.transform(first, lambda x, i: F.transform(rest(i), lambda y: F.concat(x, y))))
+        else:
+            joined = F.flatten(F.flatten(F.transform(first, lambda x, i: F.transform(rest(i), lambda y, j: F.transform(rest(i + j + 1), lambda z: F.concat(x, y, z))))))
+        return F.when((F.least(low, F.lit(3)) <= k) & (F.least(high, F.lit(3)) >= k), joined).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[keys(k) for k in (1, 2, 3)]))
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, column_a: str, column_b: str, tolerance: float = 0.8) -> DataFrame:
     """(column_a, column_b, ratio) of all pairs of distinct strings with at least the ratio.
 
-    Strings so short that they may match without a shared pair are compared by length and first letters' set only.
+    Strings so short that they may match without a shared pair meet by three shared letters at a time (``_letter_keys``).
     """
     left, right = a.select(column_a).filter(F.col(column_a).isNotNull()).distinct(), b.select(column_b).filter(F.col(column_b).isNotNull()).distinct()
     both = left.select(F.col(column_a).alias("s")).union(right.select(F.col(column_b).alias("s"))).distinct()
     frequency = both.filter(F.length("s") >= 2).select(F.explode(_pairs_of(F.col("s"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     frequency = durable(frequency)
     longer = _signatures(left, column_a, tolerance, frequency).join(_signatures(right, column_b, tolerance, frequency), "gram").select(column_a, column_b).distinct()
-    # a + b letters guarantee a shared pair beyond 2 / (1.5 t - 1); below that any shared letter makes a candidate
+    # a + b letters guarantee a shared pair beyond 2 / (1.5 t - 1); below that shared letters make a candidate
     short = 2 / (1.5 * tolerance - 1) if tolerance > 2 / 3 + 1e-9 else float("inf")
-    letters = lambda df, c: df.filter(F.length(c) <= short).select(c, F.explode(F.array_distinct(F.split(F.col(c), ""))).alias("letter"))
-    brief = letters(left, column_a).join(letters(right, column_b), "letter").select(column_a, column_b).distinct()
+    letters = lambda df, c: df.filter((F.length(c) <= short) & (F.length(c) > 0)).select(c, F.explode(_letter_keys(F.col(c), tolerance)).alias("key"))
+    brief = letters(left, column_a).join(letters(right, column_b), "key").select(column_a, column_b).distinct()
     la, lb = F.length(column_a), F.length(column_b)
     near = longer.union(brief).distinct().filter(2 * F.least(la, lb) >= tolerance * (la + lb))
     return near.withColumn("ratio", ratio(F.col(column_a), F.col(column_b))).filter(F.col("ratio") >= tolerance)

@@ -296,3 +296,17 @@ def test_principal_components_of_more_features_than_samples(spark):
         assert a[0] == b[0] and [abs(v) for v in a[1:]] == pytest.approx([abs(v) for v in b[1:]], abs=1e-8)
     found = {r["feature"]: [r["PC1"], r["PC2"], r["PC3"]] for r in loadings.collect()}
     assert [abs(v) for v in found["f07"]] == pytest.approx(np.abs(other.loadings[7]).tolist(), abs=1e-8)
+
+
+@pytest.mark.parametrize("tolerance", [0.6, 0.8, 0.9])
+def test_short_strings_meet_whoever_is_similar(spark, tolerance):
+    import random
+    from difflib import SequenceMatcher
+
+    from helixmill.operators import fuzzy
+
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("ab1P0|") for _ in range(rng.randint(1, 9))) for _ in range(120)} | {f"P{i:03d}" for i in range(30)} | {"", "x"})
+    df = spark.createDataFrame([(w,) for w in words], "a string")
+    got = {(r["a"], r["b"]) for r in fuzzy.similar_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", tolerance).collect()}
+    assert got == {(x, y) for x in words for y in words if x and y and SequenceMatcher(None, x, y).ratio() >= tolerance}
