@@ -63,32 +63,38 @@ def read_clinical(spark: SparkSession, path: str) -> DataFrame:
     return flatten_clinical(spark.read.schema(CLINICAL_DOCUMENT).option("multiLine", True).json(path))
 
 
-def parse_entities(lines: DataFrame, line: str = "value", order: str = "line_no", document: str = "document") -> DataFrame:
+def parse_entities(lines: DataFrame, line: str = "value", order: str = "line_no", document: str = "document", block: str | None = None) -> DataFrame:
     """(document, entity_no, entity_type, entity_id, key, values, data) of entity text.
 
     ``^TYPE = id`` opens an entity, ``!key = value`` is an attribute of it (repeated keys
     make a list; before the first entity they are the header), ``#`` lines are notes, all
-    else is data of the entity. A document is ordered by itself, so any number may be read.
+    else is data of the entity. Lines are numbered within a ``block`` of a document (the whole of it, if none is
+    named), and blocks by how many entities the earlier ones open, so no task sees a long document.
     """
     v = F.col(line)
-    w = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     opened = v.startswith("^")
-    named = lines.filter(~v.startswith("#") & (F.trim(v) != "")).withColumn("entity_no", F.sum(opened.cast("int")).over(w))
+    kept = lines.filter(~v.startswith("#") & (F.trim(v) != "")).withColumn("_block", F.col(block).cast("long") if block else F.lit(0).cast("long"))
+    before = Window.partitionBy(document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each block
+    starts = kept.groupBy(document, "_block").agg(F.count_if(opened).alias("_n")).select(document, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    w = Window.partitionBy(document, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    named = kept.withColumn("_k", F.sum(opened.cast("int")).over(w)).join(starts, [document, "_block"]).withColumn("entity_no", (F.col("_k") + F.col("_start")).cast("long")).drop("_k", "_start")
     head = F.split(F.regexp_replace(v, "^.", ""), "=", 2)
-    kind = F.max(F.when(opened, F.struct(F.trim(head[0]).alias("t"), F.trim(F.get(head, F.lit(1))).alias("i")))).over(Window.partitionBy(document, "entity_no"))
+    kinds = named.filter(opened).select(document, "entity_no", F.trim(head[0]).alias("entity_type"), F.trim(F.get(head, F.lit(1))).alias("entity_id"))
     attribute = v.startswith("!")
-    flat = named.withColumn("_k", kind).filter(~opened).select(
-        document, "entity_no", F.col("_k.t").alias("entity_type"), F.col("_k.i").alias("entity_id"), order,
+    flat = named.filter(~opened).join(kinds, [document, "entity_no"], "left").select(
+        document, "entity_no", "entity_type", "entity_id", "_block", order,
         F.when(attribute, F.trim(head[0])).alias("key"), F.when(attribute, F.trim(F.coalesce(F.get(head, F.lit(1)), F.lit("")))).otherwise(v).alias("text"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct(order, "text")))
+    ordered = F.array_sort(F.collect_list(F.struct("_block", order, "text")))
     return flat.groupBy(document, "entity_no", "entity_type", "entity_id", "key").agg(F.transform(ordered, lambda s: s["text"]).alias("values"))
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """``parse_entities`` of files: each file's lines are numbered within the file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("document"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return parse_entities(whole)
+    """``parse_entities`` of files of any length, which are read in splits: a split's place in its file is the block."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    # the numbers of lines grow within a split, and what is read again after a failure gets the same ones
+    return parse_entities(read, block="block")
 
 
 def characteristics(attributes: Column) -> Column:

@@ -310,3 +310,25 @@ def test_short_strings_meet_whoever_is_similar(spark, tolerance):
     df = spark.createDataFrame([(w,) for w in words], "a string")
     got = {(r["a"], r["b"]) for r in fuzzy.similar_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", tolerance).collect()}
     assert got == {(x, y) for x in words for y in words if x and y and SequenceMatcher(None, x, y).ratio() >= tolerance}
+
+
+def test_a_long_entity_file_is_read_in_splits(spark, tmp_path):
+    from helixmill.sources import readers
+
+    body = ["!Series_title = t", "^DATABASE = Geo"]
+    for i in range(300):
+        body += [f"^SAMPLE = s{i}", f"!title = sample {i}", "!characteristics_ch1 = age: 1", "!characteristics_ch1 = sex: F", "# a note", "ID\tVALUE", f"p1\t{i}.5", ""]
+    (tmp_path / "a.soft").write_text("\r\n".join(body))
+    (tmp_path / "b.soft").write_text("^SAMPLE = other\n!title = x\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (kept, "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.read_entities(spark, str(tmp_path / "*.soft")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        got = {(r["entity_type"], r["entity_id"], r["key"]): r["values"] for r in rows}
+        assert len(rows) == len(got) == 1 + 300 * 3 + 1
+        assert got[None, None, "Series_title"] == ["t"] and got["SAMPLE", "other", "title"] == ["x"]
+        for i in (0, 57, 299):
+            assert got["SAMPLE", f"s{i}", None] == ["ID\tVALUE", f"p1\t{i}.5"] and got["SAMPLE", f"s{i}", "characteristics_ch1"] == ["age: 1", "sex: F"] and got["SAMPLE", f"s{i}", "title"] == [f"sample {i}"]
