@@ -30,6 +30,8 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]
 def to_long(wide: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """(key, feature, value) with a row for every cell, also for missing ones."""
     columns = list(columns if columns is not None else numeric_columns(wide, [key]))
+    if not columns:
+        return wide.limit(0).select(F.col(f"`{key}`"), F.lit("").alias("feature"), F.lit(None).cast("double").alias("value"))
     numbers = wide.select(F.col(f"`{key}`"), *[clean_number(F.col(f"`{c}`")).alias(c) for c in columns])
     return numbers.unpivot([F.col(f"`{key}`")], [F.col(f"`{c}`") for c in columns], "feature", "value")
 

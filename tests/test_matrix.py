@@ -26,6 +26,7 @@ def test_wide_and_long_are_inverse(spark):
     assert matrix.numeric_columns(wide, ["k"]) == ["p.1", "q", "r"] and matrix.categorical_columns(wide, ["k"]) == ["t"]
     tall = matrix.to_long(wide, "k")
     assert {(r["k"], r["feature"]): r["value"] for r in tall.collect()} == {("a", "p.1"): 1.0, ("a", "q"): 2.0, ("a", "r"): None, ("b", "p.1"): None, ("b", "q"): None, ("b", "r"): 4.0}
+    assert matrix.to_long(wide, "k", []).collect() == [] and matrix.to_long(wide, "k", []).columns == tall.columns
     back = matrix.to_wide(tall, "k", "feature", "value", ["q", "r"], fill=0.0)
     assert {r["k"]: (r["q"], r["r"]) for r in back.collect()} == {"a": (2.0, 0.0), "b": (0.0, 4.0)}
     turned = matrix.transpose(wide, "k", ["q", "r"], ["a", "b"])
