@@ -158,8 +158,11 @@ def audit(packed: DataFrame, sizes: DataFrame, plans: DataFrame) -> DataFrame:
     capacity = plans.filter("plan_id IS NOT NULL AND capacity_tokens > 0").groupBy("plan_id").agg(F.max("capacity_tokens").alias("capacity"))
     held = packed.groupBy("plan_id", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.sum(F.col("token_end") - F.col("token_start")).alias("spans"), F.max("token_end").alias("last"), F.countDistinct("token_start").alias("starts"))
     want = sizes.groupBy("doc_id").agg(F.sum(F.coalesce("n_tokens", F.lit(0))).alias("want"), F.max(F.coalesce("n_tokens", F.lit(0))).alias("largest"), F.count(F.lit(1)).alias("copies"))
-    offers = F.explode(F.array(*[F.struct(F.lit(r["plan_id"]).alias("plan_id"), F.lit(r["capacity"]).alias("capacity")) for r in capacity.limit(MOST_PLANS).collect()])).alias("o")
-    both = want.select("*", offers).select("doc_id", "want", "largest", "copies", "o.*").join(held, ["plan_id", "doc_id"], "left")
+    offers = F.array(*[F.struct(F.lit(r["plan_id"]).alias("plan_id"), F.lit(r["capacity"]).alias("capacity")) for r in capacity.limit(MOST_PLANS).collect()]).cast("array<struct<plan_id:string,capacity:int>>")
+    wanted = want.select("*", F.explode(offers).alias("o")).select("doc_id", "want", "largest", "copies", "o.*").alias("w")
+    # documents without an id count as one
+    same = (F.col("w.plan_id") == F.col("h.plan_id")) & F.col("w.doc_id").eqNullSafe(F.col("h.doc_id"))
+    both = wanted.join(held.alias("h"), same, "left").select("w.*", "held", "pieces", "spans", "last", "starts")
     docs = both.groupBy("plan_id").agg(
         F.sum("copies").alias("n_docs"), F.count_if(F.col("held").isNull()).alias("n_missing"),
         F.count_if((F.col("held") != F.col("want")) | (F.col("spans") != F.col("want")) | (F.col("last") != F.col("largest")) | ((F.col("copies") == 1) & (F.col("starts") != F.col("pieces")))).alias("n_wrong_tokens"),

@@ -84,6 +84,10 @@ def test_the_audit_sees_what_is_wrong(spark):
     plans = spark.createDataFrame([("p", 10)], "plan_id string, capacity_tokens int")
     good = pack(sizes, plans)
     assert audit(good, sizes, plans).first().asDict() == {"plan_id": "p", "n_docs": 5, "n_missing": 0, "n_wrong_tokens": 0, "n_split_in_vain": 0, "n_wrong_containers": 0}
+    assert audit(good, sizes, plans.limit(0)).collect() == []
+    nameless = spark.createDataFrame([(None, 12), (None, 3), (1, 4)], "doc_id long, n_tokens int")
+    told = audit(pack(nameless, plans), nameless, plans).first()
+    assert told["n_docs"] == 3 and told["n_missing"] == 0 and told["n_wrong_tokens"] == 0 and told["n_wrong_containers"] == 0
     bad = audit(good.filter("doc_id <> 1").withColumn("n_tokens", F.when(F.col("doc_id") == 2, 99).otherwise(F.col("n_tokens"))), sizes, plans).first()
     assert bad["n_missing"] == 1 and bad["n_wrong_tokens"] == 1 and bad["n_wrong_containers"] >= 1
 
