@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from helixmill.errors import ValidationError
 from helixmill.functions.text import clean_number
-from helixmill.session import durable
 
 KEYS = ["table_name", "column_name", "load_id"]
 #: Order-preserving buckets per doubling of the absolute value, for distributed quantiles.
